@@ -67,9 +67,9 @@ class WordIds:
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of single words, encoded together and cut after each word's last id."""
         out: list[bytes] = []
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        parts = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for some, encoding in zip(parts, self.tokenizer.encode_batch_fast([" ".join(some) for some in parts], add_special_tokens=False)):
+            ids = np.array(encoding.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 out += self._whole(some)
