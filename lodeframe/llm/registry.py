@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import ann, langid, mixing, neardup, packing, sharding, syncmers, urls
+from lodeframe.llm import ann, html, langid, mixing, neardup, packing, sharding, syncmers, urls
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest": op3_nearest,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_sharding": op6_sharding,
+        "op7_main_text": op7_main_text,
         "op8_fingerprints": op8_fingerprints,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
