@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import ann, html, langid, mixing, neardup, packing, sharding, syncmers, urls
+from lodeframe.llm import ann, html, langid, lm, mixing, neardup, packing, sharding, syncmers, urls
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2, percent=80)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_nearest": op3_nearest,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_sharding": op6_sharding,
         "op7_main_text": op7_main_text,
         "op8_fingerprints": op8_fingerprints,
