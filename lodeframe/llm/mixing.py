@@ -46,7 +46,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, cap: fl
     capped = F.coalesce(F.sum("_cap").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     open_ = F.sum("_w").over(up.rowsBetween(0, W.unboundedFollowing))
     s = s.withColumn("_level", (F.col("_total") - capped) / open_)
-    s = s.withColumn("_t", F.min(F.when(F.col("_level") <= F.col("_full_at"), F.col("_level"))).over(every))
+    # Past the last capped source the levels only fall, so the first that holds is the largest.
+    s = s.withColumn("_t", F.max(F.when(F.col("_level") <= F.col("_full_at"), F.col("_level"))).over(every))
     return s.select("source", "source_size", F.when(F.col("_t").isNull(), F.col("_cap")).otherwise(F.least(F.col("_w") * F.col("_t"), F.col("_cap"))).alias("target"))
 
 

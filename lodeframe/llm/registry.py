@@ -91,7 +91,7 @@ WITH d AS (
     (total - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1
 ), s3 AS (
-  SELECT *, min(CASE WHEN level <= full_at THEN level END) OVER () AS t FROM s2
+  SELECT *, max(CASE WHEN level <= full_at THEN level END) OVER () AS t FROM s2
 ), s4 AS (
   SELECT source, source_size, CASE WHEN t IS NULL THEN cap ELSE least(w * t, cap) END AS target FROM s3
 ), s5 AS (
