@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, count_words, mix, slices, utf8, word_hashes
+from lodeframe.llm.common import U64, count_words, mix, slices, trimmed, utf8, word_hashes
 
 ALPHA = 0.4
 #: Words of a block, but for a longer document.
@@ -191,10 +191,10 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = slim.select(F.sum(count_words(F.col("text"))).alias("n")).first().n or 0
     parts = max(1, -(-corpus // PART_WORDS))
-    blocks = slim.mapInArrow(_blocks, "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
-    requests = blocks.mapInArrow(_requests(parts), "part int, block long, keys binary, counts binary")
-    answers = requests.repartition("part").sortWithinPartitions("part", "block").mapInArrow(_answers, "block long, part int, totals binary")
+    blocks = slim.mapInArrow(trimmed(_blocks), "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
+    requests = blocks.mapInArrow(trimmed(_requests(parts)), "part int, block long, keys binary, counts binary")
+    answers = requests.repartition("part").sortWithinPartitions("part", "block").mapInArrow(trimmed(_answers), "block long, part int, totals binary")
     # A block's answers are as many as its n-grams, so a group is as large as a block.
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("docs", "lengths", "words", "sequence", "answers").mapInArrow(_scores(parts, corpus, alpha), "doc_id long, n_words long, n_seen long, score double")
+    scored = blocks.join(answers, "block", "left").select("docs", "lengths", "words", "sequence", "answers").mapInArrow(trimmed(_scores(parts, corpus, alpha)), "doc_id long, n_words long, n_seen long, score double")
     return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))

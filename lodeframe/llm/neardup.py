@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, mix, settled, shingle_sets, slices, utf8
+from lodeframe.llm.common import U64, mix, settled, shingle_sets, slices, trimmed, utf8
 
 #: Registers, of which the first BANDS * ROWS are banded. At similarity 0.8 a pair shares no band in 5 of 100,000 cases.
 M, BANDS, ROWS = 128, 25, 5
@@ -234,12 +234,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = settled(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"))
+    sketched = settled(docs.mapInArrow(trimmed(_sketches(words)), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"))
     live = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = settled(live.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
     nodes = classes.select("rep", "n_shingles", "sketch")
 
-    banded = nodes.mapInArrow(_bands, "key long, rep long, n_shingles long")
+    banded = nodes.mapInArrow(trimmed(_bands), "key long, rep long, n_shingles long")
     tag = F.xxhash64("rep", F.lit(1))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles") + 2 * M).alias("bytes"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(tag).alias("x"), F.bit_xor(F.xxhash64(tag)).alias("y"))
     buckets = buckets.where("lo < hi").groupBy("n", "lo", "hi", "x", "y").agg(F.min("key").alias("key"), F.first("bytes").alias("bytes"))
@@ -250,14 +250,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     count = ids.count()
     # Few ids are broadcast so that no other text is shuffled; many are joined by shuffle.
     texts = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, F.col("doc_id") == F.col("rep"))
-    full = texts.select("rep", "text").dropDuplicates().mapInArrow(_sets(words), "rep long, sketch binary, elements binary")
+    full = texts.select("rep", "text").dropDuplicates().mapInArrow(trimmed(_sets(words)), "rep long, sketch binary, elements binary")
 
     # A member of block b of n is compared in the tasks (min(b, x), max(b, x)) for all x: side says which block it is there.
     block = F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
     together = dealt.join(full, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
-    pairs = together.select("key", "i", "j", "side", "rep", "sketch", "elements").mapInArrow(_compare(percent), "a long, b long")
+    pairs = together.select("key", "i", "j", "side", "rep", "sketch", "elements").mapInArrow(trimmed(_compare(percent)), "a long, b long")
     found = components(settled(pairs.distinct()))
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("_1"), F.col("f2").alias("_2"), F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("_c"))

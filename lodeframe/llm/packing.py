@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import slices
+from lodeframe.llm.common import slices, trimmed
 
 CAPACITY = 2048
 WINDOW = 512
 #: Unfilled ids for which no item is cut.
 TOLERANCE = 8
 #: Distinct words whose ids a worker keeps.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 
 #: Texts of these characters only need no Unicode normalisation, and their words are found by PLAIN_WORD.
@@ -236,4 +236,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             yield table(out)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return slim.mapInArrow(trimmed(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
