@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, mix, slices
+from lodeframe.llm.common import U64, slices, trimmed
 
 ORDERS = (1, 2, 3, 4)
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 #: Log-probability units that a change of language between two words costs.
 PENALTY = 6.0
+#: Characters whose n-grams are scored at once, and texts up to which the Viterbi pass leaves numpy.
+TOGETHER, FEW = 1 << 19, 3
 #: Training rows at most, chosen by a hash of doc_id; the rest of the labelled rows is not needed.
 TRAIN_ROWS = 20_000
 #: A language is a candidate for a word in a script that held at least this share of its training letters.
@@ -103,7 +106,8 @@ def grams(points: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
         same = word[:n] == word[order - 1 :]
         if order == 1:
             same = same & (symbols != 1)
-        buckets.append((mix(h[same]) % U64(BUCKETS)).astype(np.int64))
+        # The upper bits of a sum of random odd multiples are hashed well.
+        buckets.append((h[same] >> U64(64 - BITS)).astype(np.int64))
         owners.append(word[:n][same])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -148,7 +152,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     share = most / max(1, rows.select("doc_id").count())
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = rows.select("text", "lang").mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("text", "lang").mapInArrow(trimmed(_count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(got.column("lang").to_pylist()))
     counts = np.zeros((len(langs), BUCKETS + len(_NAMES)), np.int64)
     place = {x: i for i, x in enumerate(langs)}
@@ -160,7 +164,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
     """The best language of each word: ``scores`` (word, language) of texts in a row, ``counts`` words of each.
 
     All texts advance together, longest first, so numpy works on a word of each
-    at once.
+    at once; the last few long ones go on by themselves.
     """
     n, langs = scores.shape
     best = np.zeros(n, np.int32)
@@ -169,13 +173,15 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
     order = np.argsort(-counts, kind="stable")
     begins = (np.cumsum(counts) - counts)[order]
     counts = counts[order]
-    order_live = np.searchsorted(-counts, -np.arange(int(counts[0])), "left")  # texts longer than t
+    longest = int(counts[0])
+    alive = np.searchsorted(-counts, -np.arange(longest), "left")  # texts with more than t words
+    together = int(np.searchsorted(-alive, -FEW, "right"))  # steps that more than FEW texts take
     came = np.zeros((n, langs), np.int16)
-    state = scores[begins[: order_live[0]]].astype(np.float64)
+    state = scores[begins[: alive[0]]].astype(np.float64)
     here = np.arange(langs, dtype=np.int16)
     final = np.zeros(len(counts), np.int64)
-    for t in range(1, int(counts[0])):
-        live = order_live[t]
+    for t in range(1, max(1, together)):
+        live = alive[t]
         if live < len(state):
             final[live : len(state)] = state[live:].argmax(axis=1)
             state = state[:live]
@@ -185,9 +191,15 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
         came[begins[:live] + t] = np.where(stay, here[None, :], top[:, None])
         state = np.where(stay, state, jump[:, None]) + scores[begins[:live] + t]
     final[: len(state)] = state.argmax(axis=1)
+    together = max(1, together)
     now = np.zeros(len(counts), np.int64)
-    for t in range(int(counts[0]) - 1, -1, -1):
-        live = order_live[t]
+    for i in range(min(FEW, len(counts))):
+        if counts[i] > together:
+            first, last = int(begins[i]) + together, int(begins[i] + counts[i])
+            path, now[i] = _alone(scores[first:last].tolist(), state[i].tolist(), penalty)
+            best[first:last] = path
+    for t in range(min(together, longest) - 1, -1, -1):
+        live = alive[t]
         ends = counts[:live] == t + 1
         now[:live][ends] = final[:live][ends]
         at = begins[:live] + t
@@ -197,21 +209,56 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float = PENALTY) ->
     return best
 
 
-def label(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, language, letters) of each word of ``texts``, in order."""
+def _alone(scores: list[list[float]], state: list[float], penalty: float) -> tuple[list[int], int]:
+    """The rest of one text's path from ``state``, and the language of the word before it."""
+    langs = range(len(state))
+    came = []
+    for row in scores:
+        high = max(state)
+        top, jump = state.index(high), high - penalty
+        came.append([i if state[i] >= jump else top for i in langs])
+        state = [(x if x >= jump else jump) + y for x, y in zip(state, row)]
+    now = state.index(max(state))
+    path = []
+    for back in reversed(came):
+        path.append(now)
+        now = back[now]
+    return path[::-1], now
+
+
+def word_scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, letters, scores by language) of each word of ``texts``, in order."""
     points, number, text_of, script = words(texts)
     lengths = np.bincount(number[number >= 0], minlength=len(text_of)).astype(np.int64)
-    if not len(text_of) or not model.langs:
-        return text_of, np.zeros(len(text_of), np.int32), lengths
     bucket, owner = grams(points, number)
     per = np.bincount(owner, minlength=len(text_of))
-    # A word's weight grows with its letters, but its overlapping grams aren't independent: their mean counts, times the letters' square root.
-    scores = np.empty((len(text_of), len(model.langs)), np.float64)
+    scores = np.empty((len(text_of), len(model.langs)), np.float32)
+    # A word's grams overlap and aren't independent: their mean counts, times the root of the word's letters.
+    weight = 2 * np.sqrt(lengths) / np.maximum(per, 1)
     for i in range(len(model.langs)):
-        scores[:, i] = np.bincount(owner, weights=model.log[bucket, i], minlength=len(text_of))
-    scores *= (np.sqrt(lengths) / np.maximum(per, 1))[:, None] * 2
+        scores[:, i] = np.bincount(owner, weights=model.log[:, i][bucket], minlength=len(text_of)) * weight
     out = ~model.own.T[script]
     scores[out & ~out.all(axis=1)[:, None]] -= 1e3
+    return text_of, lengths, scores
+
+
+def label(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, language, letters) of each word of ``texts``, in order."""
+    if not model.langs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    parts, first = [], 0
+    while first < len(texts):
+        # Scores of some texts at a time: their n-grams take far more memory than their words.
+        end, size = first, 0
+        while end < len(texts) and (end == first or size + len(texts[end]) <= TOGETHER):
+            size += len(texts[end])
+            end += 1
+        of, lengths, scores = word_scores(texts[first:end], model)
+        parts.append((of + first, lengths, scores))
+        first = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+    text_of, lengths, scores = (np.concatenate([p[i] for p in parts]) for i in range(3))
     return text_of, viterbi(scores, np.bincount(text_of, minlength=len(texts))), lengths
 
 
@@ -241,7 +288,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, text, 8 << 20):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             text_of, lang, lengths = label(texts, m)
             n = max(1, len(m.langs))
@@ -262,7 +309,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema.names = [f.name for f in schema.fields]
     schema = schema.add("lang_pred", "string").add("score", "double").add("lang_spans", "long")
     wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], *([] if plain else [F.col("text").cast("string").alias("__text")]))
-    out = wide.mapInArrow(run, schema)
+    out = wide.mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *own)
 
 
