@@ -78,3 +78,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A path in the shared checkpoint folder."""
     settled(spark.range(0))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def one_row(*tables: DataFrame) -> DataFrame:
+    """The columns of several tables of one row each, as one row."""
+    union = tables[0]
+    for t in tables[1:]:
+        union = union.unionByName(t, allowMissingColumns=True)
+    return union.agg(*[F.max(c).alias(c) for c in union.columns])

@@ -80,8 +80,7 @@ def statuses(asked: DataFrame, batches: DataFrame, retention: int, recovery: tup
 def retained(batches: DataFrame, retention: int) -> DataFrame:
     """Terminal statuses that are kept: the newest ``retention`` resolved ones by serial, and every unknown."""
     resolved = row_number(batches.where("state <> 'UNKNOWN'"), "serial", "__n")
-    last = resolved.agg(F.max("__n").alias("__last"))  # one row
-    kept = resolved.join(F.broadcast(last), F.col("__n") > F.col("__last") - retention).drop("__n", "__last")
+    kept = resolved.where(F.col("__n") > resolved.agg(F.max("__n")).scalar() - retention).drop("__n")
     return kept.unionByName(batches.where("state = 'UNKNOWN'"))
 
 

@@ -54,5 +54,5 @@ def migration_path(steps: DataFrame, first: int, last: int, view: str = "migrati
           SELECT p.step + 1, s.name, s.version_from, s.version_to FROM p JOIN {view} s ON s.version_from = p.version_to
           WHERE p.version_to <> {last} AND p.step < 90
         ) SELECT * FROM p""")
-    reached = found.where(F.col("version_to") == last).select(F.lit(1).alias("__k")).distinct()
-    return found.withColumn("__k", F.lit(1)).join(reached, "__k", "left_semi").drop("__k")
+    reached = found.agg(F.max((F.col("version_to") == last).cast("int")))
+    return found.where(reached.scalar() == 1)

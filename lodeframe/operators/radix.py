@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.functions.ordering import one_row
 from lodeframe.schema import SPARSE_SLOTS, node_bytes, radix_prefix, radix_slot
 
 LEVELS = 8
@@ -45,7 +46,5 @@ def space(before: DataFrame, after: DataFrame, changed: DataFrame) -> DataFrame:
     on_the_way = slots(changed).select("level", "prefix").distinct()
     rewritten = new.join(on_the_way, ["level", "prefix"], "left_semi").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("again"))
     kept = new.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("reachable_bytes"))
-    # Each of the three is one row.
-    one = full.withColumn("k", F.lit(1)).join(rewritten.withColumn("k", F.lit(1)), "k").join(kept.withColumn("k", F.lit(1)), "k")
     total = F.col("first") + F.col("again")
-    return one.select(total.alias("total_bytes"), "reachable_bytes", (total - F.col("reachable_bytes")).alias("unreachable_bytes"))
+    return one_row(full, rewritten, kept).select(total.alias("total_bytes"), "reachable_bytes", (total - F.col("reachable_bytes")).alias("unreachable_bytes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeframe.functions.ordering import one_row
 from lodeframe.schema import ABORT_FRAME, FRAME_HEADER, MUTATION_ENTRY, SEAL_FRAME
 
 PREFIX = "lode_"
@@ -35,10 +36,7 @@ def verify_report(puts: DataFrame, live: DataFrame, final: DataFrame, commits: D
     b = system_bytes(final).agg(F.coalesce(F.sum("system_bytes"), F.lit(0)).alias("system_frame_bytes"))
     c = live.agg(F.count("*").alias("mapping_entries"))
     d = commits.agg(F.coalesce(F.max("commit_seq"), F.lit(0)).alias("current_commit_seq"))
-    # Four tables of one row each.
-    for x in (b, c, d):
-        a = a.withColumn("__k", F.lit(1)).join(x.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return a
+    return one_row(a, b, c, d)
 
 
 def samples(values: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions import codec
-from lodeframe.functions.ordering import row_number
+from lodeframe.functions.ordering import one_row, row_number
 from lodeframe.operators import admission, batches, catalog, radix, replay, reports, segments
 from lodeframe.schema import DELTA_ENTRY, PUT, address_fault, address_offset, address_segment, pack_address, unsigned_decimal, unsigned_order
 from lodeframe.sources import logs
@@ -222,9 +222,8 @@ def _candidates(s, d):
     puts = logs.event_puts(s, d)
     feet = segments.footers(puts)
     stats = segments.statistics(segments.live_puts(puts, _live(s, d)))
-    # The replay start lies in the last segment: one row.
-    last = feet.agg(F.max("segment_id").alias("replay_segment"))
-    return segments.candidates(feet.join(F.broadcast(last), F.col("segment_id") < F.col("replay_segment")), stats, F.col("replay_segment"))
+    # The replay start lies in the last segment.
+    return segments.candidates(feet, stats, feet.agg(F.max("segment_id")).scalar())
 
 
 @query
@@ -472,9 +471,7 @@ def _metrics(s, d):
     m = _terminals(s, d).agg(F.count(F.when(F.col("state") == "COMMITTED", 1)).alias("committed_total"), F.count(F.when(F.col("state") == "ABORTED", 1)).alias("aborted_total"), F.count(F.when(F.col("state") == "UNKNOWN", 1)).alias("commit_unknown_total"), F.count("*").alias("commit_queued_total"))
     c = admission.single_record(logs.conditional_commits(s, d)).agg(F.count(F.when(~F.col("accepted"), 1)).alias("conflicts_total"))
     r = relocation_result(s, d).select(F.col("relocated").alias("gc_relocated_records_total"), F.col("skipped").alias("gc_skipped_records_total"))
-    for x in (c, r):
-        m = m.withColumn("k", F.lit(1)).join(x.withColumn("k", F.lit(1)), "k").drop("k")
-    return reports.samples(m)
+    return reports.samples(one_row(m, c, r))
 
 
 @query
