@@ -310,13 +310,16 @@ def test_shards_are_contiguous_and_even(spark, docs, none):
     got = sharding.byte_shards(d, 5, partitions=3).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in d.collect())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
-    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
+    got.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32, r.size))
     total, run, slots = sum(r.size for r in got), 0, Counter()
     for r in got:
         assert r.shard == min(4, (2 * run + r.size) * 5 // (2 * total)) and r.slot == slots[r.shard]
         slots[r.shard] += 1
         run += r.size
     assert sharding.byte_shards(none, 5).count() == 0
+    hot = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, None).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    slots = Counter((r.shard, r.slot) for r in sharding.byte_shards(hot, 5, partitions=6).collect())
+    assert max(slots.values()) == 1 and len(slots) == 3000 and all((s, x - 1) in slots for s, x in slots if x)
     even = sharding.byte_shards(spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text")), 40, partitions=7)
     sizes = [r.s for r in even.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(sizes) == 40 and max(sizes) - min(sizes) < 250
