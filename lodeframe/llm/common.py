@@ -9,6 +9,7 @@ long text is cut at white space into slices, so memory stays bounded by
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -18,10 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that numpy works on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text handed out by ``slices``.
 SLICE = 2 << 20
 
+#: Bytes of rows in a batch between the JVM and Python.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.uint64)) * 2 + 1 & (1 << 64) - 1
@@ -88,6 +93,7 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
                 libc.malloc_trim(0)
@@ -172,6 +178,12 @@ def ready(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lode-"))
 
 
+def lean(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; their default of 64 MB is kept several times over, outside the JVM's heap and in Python."""
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: lineage ends there, and later readers see one fixed result."""
     ready(df.sparkSession)

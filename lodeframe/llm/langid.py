@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, slices, trimmed
+from lodeframe.llm.common import U64, lean, slices, trimmed
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -29,7 +29,7 @@ BUCKETS = 1 << BITS
 #: Log-probability units that a change of language between two words costs.
 PENALTY = 6.0
 #: Characters whose n-grams are scored at once, and texts up to which the Viterbi pass leaves numpy.
-TOGETHER, FEW = 1 << 19, 3
+TOGETHER, FEW = 1 << 18, 3
 #: Training rows at most, chosen by a hash of doc_id; the rest of the labelled rows is not needed.
 TRAIN_ROWS = 20_000
 #: A language is a candidate for a word in a script that held at least this share of its training letters.
@@ -148,6 +148,7 @@ def train(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     each run. Texts stay on the executors; the driver gets one count for each
     language and slot.
     """
+    lean(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     share = most / max(1, rows.select("doc_id").count())
     if share < 1:
@@ -281,6 +282,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     own = ["lang_pred", "score", "lang_spans"]
     docs = docs.drop(*own)
     spark = docs.sparkSession
+    lean(spark)
     shared = spark.sparkContext.broadcast(model)  # languages x BUCKETS x 4 bytes
     kept = docs.columns
     plain = docs.schema["text"].dataType.simpleString() == "string"

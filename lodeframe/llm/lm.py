@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, count_words, mix, slices, trimmed, utf8, word_hashes
+from lodeframe.llm.common import U64, count_words, lean, mix, slices, trimmed, utf8, word_hashes
 
 ALPHA = 0.4
 #: Words of a block, but for a longer document.
@@ -188,6 +188,7 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     are scored on their own; copies count for each other. An empty table gives
     no rows; other columns are ignored.
     """
+    lean(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = slim.select(F.sum(count_words(F.col("text"))).alias("n")).first().n or 0
     parts = max(1, -(-corpus // PART_WORDS))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, mix, settled, shingle_sets, slices, trimmed, utf8
+from lodeframe.llm.common import U64, lean, mix, settled, shingle_sets, slices, trimmed, utf8
 
 #: Registers, of which the first BANDS * ROWS are banded. At similarity 0.8 a pair shares no band in 5 of 100,000 cases.
 M, BANDS, ROWS = 128, 25, 5
@@ -36,6 +36,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 SLACK = 0.2
 #: Members of a bucket and bytes of their sets that one task compares.
 BLOCK_ROWS, BLOCK_BYTES = 4096, 24 << 20
+#: Labels of components that a task writes in a round.
+LABELS_PER_FILE = 10_000
 #: Members up to which their ids are broadcast to find their texts.
 BROADCAST_IDS = 2_000_000
 _SALT_A, _SALT_B, _STEP = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03), U64(0xA0761D6478BD642F)
@@ -208,14 +210,17 @@ def components(links: DataFrame) -> DataFrame:
     Minima over neighbours, then over the label's own label, until nothing
     changes. Each round ends in the shared checkpoint folder.
     """
-    edges = settled(links.union(links.select("b", "a")).distinct())
-    labels = settled(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = settled(links.select(both.alias("e")).select("e.a", "e.b").distinct())
+    # Each round writes a label for each node: in as few files as their number asks for.
+    files = edges.count() // LABELS_PER_FILE + 1
+    labels = settled(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).coalesce(files))
     while True:
         near = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         # A label is a node too: its own label is the jump.
         own = labels.join(near, "a").select("a", "l", F.least("l", "m").alias("m"))
         jump = labels.select(F.col("a").alias("m"), F.col("l").alias("jumped"))
-        new = settled(own.join(jump, "m").select("a", "l", F.least("m", "jumped").alias("m")))
+        new = settled(own.join(jump, "m").select("a", "l", F.least("m", "jumped").alias("m")).coalesce(files))
         moved = new.where("l <> m").limit(1).count()
         labels = new.select("a", F.col("m").alias("l"))
         if not moved:
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     no component (null) and kept. An empty table gives no rows; other columns
     are ignored.
     """
-    spark = docs.sparkSession
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sketched = settled(docs.mapInArrow(trimmed(_sketches(words)), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"))
     live = sketched.where("n_shingles > 0 and doc_id is not null")
@@ -258,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     dealt = dealt.select("key", "rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
     together = dealt.join(full, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "rep")
     pairs = together.select("key", "i", "j", "side", "rep", "sketch", "elements").mapInArrow(trimmed(_compare(percent)), "a long, b long")
-    found = components(settled(pairs.distinct()))
+    found = components(pairs)
 
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("_1"), F.col("f2").alias("_2"), F.col("n_shingles").alias("_n"), F.coalesce("component", "rep").alias("_c"))
     out = sketched.join(named, (F.col("f1") == F.col("_1")) & (F.col("f2") == F.col("_2")) & (F.col("n_shingles") == F.col("_n")), "left")

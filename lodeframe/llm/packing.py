@@ -16,6 +16,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -27,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import slices, trimmed
+from lodeframe.llm.common import lean, slices, trimmed
 
 CAPACITY = 2048
 WINDOW = 512
 #: Unfilled ids for which no item is cut.
 TOLERANCE = 8
 #: Distinct words whose ids a worker keeps.
-REMEMBER = 250_000
+REMEMBER = 150_000
 
 
 #: Texts of these characters only need no Unicode normalisation, and their words are found by PLAIN_WORD.
@@ -53,6 +54,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the tokenizer's own would each keep memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -225,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             )
 
         end = np.array([end_id], "<u4")
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids = np.concatenate((ids, end))
@@ -235,5 +238,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         if out := list(packer.end()):
             yield table(out)
 
+    lean(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(trimmed(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

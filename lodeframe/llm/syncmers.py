@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, mix, slices
+from lodeframe.llm.common import U64, lean, mix, slices, trimmed
 
 K, S, KEEP = 24, 9, 64
 _WINDOW = K - S + 1
@@ -184,6 +184,7 @@ def fingerprints(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     fingerprint is empty. An empty table gives no rows; other columns are
     ignored.
     """
+    lean(docs.sparkSession)
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_next(slim, partitions).mapInArrow(_rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(slim, partitions).mapInArrow(trimmed(_rows), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
