@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import slices
+from lodeframe.llm.common import lean, slices, trimmed
 
 #: Capacity between neighbouring blocks under one parent; it halves with each step of distance in the tree.
 SMOOTH = 1.2
@@ -187,6 +187,8 @@ def kind(tag: str, attributes: str) -> int:
     return -1 if names & WEAK_NAMES else 0
 
 
+#: What short lines around an article hold.
+MARKS = re.compile(r"[©|»·]|copyright|all rights reserved", re.I)
 FEATURES = 15
 
 
@@ -203,12 +205,12 @@ def features(found: list[Block]) -> np.ndarray:
         named_good = max((j for j, e in enumerate(b.path) if e[1] > 0), default=-1)
         words = b.text.count(" ") + 1
         ends = b.text[-1] in ".!?…。！？»\"”"
-        out[i] = (1, min(1.0, np.log1p(len(b.text)) / 7), b.linked / len(b.text), ends, words >= 8, tags[-1] in HEADS if tags else 0, (tags[-1] == "p") if tags else 0, "li" in tags, good >= 0, bad >= 0, named_bad >= 0, named_good > named_bad and named_good >= 0, i / n, b.text.count(",") / words, any(c in b.text for c in "©|»·"))
+        out[i] = (1, min(1.0, np.log1p(len(b.text)) / 7), b.linked / len(b.text), ends, words >= 8, tags[-1] in HEADS if tags else 0, (tags[-1] == "p") if tags else 0, "li" in tags, good >= 0, bad >= 0, named_bad >= 0, named_good > named_bad and named_good >= 0, i / n, b.text.count(",") / words, len(b.text) < 160 and bool(MARKS.search(b.text)))
     return out
 
 
 #: Weights before any fit, in the order of features(): what the fit starts from and is drawn towards.
-PRIOR = np.array([-1.0, 2.0, -4.0, 0.8, 0.8, 0.5, 1.0, -1.0, 2.5, -7.0, -7.0, 1.5, 0.0, 0.5, -1.0])
+PRIOR = np.array([-1.0, 2.0, -4.0, 0.8, 0.8, 0.5, 1.0, -0.4, 2.5, -7.0, -7.0, 1.5, 0.0, 0.5, -3.0])
 
 
 def weak_labels(found: list[Block]) -> np.ndarray:
@@ -239,7 +241,7 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 20.0, rounds: int = 20) -> n
 
 
 def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
-    """Ties of blocks: each to the next one, and to the last block before it under each of its two nearest parents."""
+    """Ties of blocks: each to the next one, and to the last block before it under each of its two nearest parents. A heading goes with what follows it rather than with what is before it."""
     out = []
     last: dict[int, int] = {}
     for i, b in enumerate(found):
@@ -247,10 +249,11 @@ def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, fl
         if i:
             theirs = [e[2] for e in found[i - 1].path]
             shared = sum(1 for a, c in zip(mine, theirs) if a == c)
-            out.append((i - 1, i, smooth * 0.5 ** max(0, max(len(mine), len(theirs)) - shared - 1)))
+            head, after = (bool(x.path) and x.path[-1][0] in HEADS for x in (b, found[i - 1]))
+            out.append((i - 1, i, smooth * (0.25 if head else 1.5 if after else 1.0) * 0.5 ** max(0, max(len(mine), len(theirs)) - shared - 1)))
         for up, e in enumerate(mine[::-1][:2]):
             j = last.get(e)
-            if j is not None and j != i - 1:
+            if j is not None and j != i - 1 and b.path[-1][0] not in HEADS:
                 out.append((j, i, smooth * 0.5 ** (up + 1)))
             last[e] = i
     return out
@@ -369,6 +372,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     are independent of each other, so repeated rows give equal texts, and an
     empty table gives no rows. Existing columns text and n_chars are replaced.
     """
+    lean(pages.sparkSession)
     weights = train(pages) if weights is None else weights
     pages = pages.drop("text", "n_chars")
     kept = [c for c in pages.columns if c != "html"]
@@ -380,4 +384,4 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
 
     wide = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col("html").cast("string").alias("html"))
     schema = wide.drop("html").schema.add("text", "string").add("n_chars", "long")
-    return wide.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "text", "n_chars")
+    return wide.mapInArrow(trimmed(run), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "text", "n_chars")
