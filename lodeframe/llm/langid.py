@@ -112,19 +112,42 @@ def grams(points: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in pieces of TOGETHER characters at most, and whose each piece is; a piece ends at a space where there is one, so no word is cut."""
+    owners: list[int] = []
+    pieces: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            end = len(text) if len(text) - at <= TOGETHER else text.rfind(" ", at, at + TOGETHER) + 1 or at + TOGETHER
+            if pieces and size + end - at > TOGETHER:
+                yield owners, pieces
+                owners, pieces, size = [], [], 0
+            owners.append(i)
+            pieces.append(text[at:end])
+            size, at = size + end - at, end
+            if at == len(text):
+                break
+    if pieces:
+        yield owners, pieces
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of buckets, and of letters by script, for each language of a task; at most languages x (BUCKETS + scripts) rows."""
     total: dict[str, np.ndarray] = {}
     for batch in slices(batches, "text"):
         langs = np.array(batch.column("lang").to_pylist(), object)
-        points, number, text_of, script = words(batch.column("text").to_pylist())
-        bucket, owner = grams(points, number)
-        lengths = np.bincount(number[number >= 0], minlength=len(text_of))
-        for lang in set(langs.tolist()):
-            mine = (langs == lang)[text_of]
-            have = total.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
-            have[:BUCKETS] += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
-            have[BUCKETS:] += np.bincount(script[mine], weights=lengths[mine], minlength=len(_NAMES)).astype(np.int64)
+        for owners, pieces in _parts(batch.column("text").to_pylist()):
+            points, number, text_of, script = words(pieces)
+            bucket, owner = grams(points, number)
+            lengths = np.bincount(number[number >= 0], minlength=len(text_of))
+            own = langs[owners]
+            for lang in set(own.tolist()):
+                mine = (own == lang)[text_of]
+                have = total.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), np.int64))
+                have[:BUCKETS] += np.bincount(bucket[mine[owner]], minlength=BUCKETS)
+                have[BUCKETS:] += np.bincount(script[mine], weights=lengths[mine], minlength=len(_NAMES)).astype(np.int64)
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "slot", "n"])
@@ -247,16 +270,11 @@ def label(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.nd
     """(text, language, letters) of each word of ``texts``, in order."""
     if not model.langs:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
-    parts, first = [], 0
-    while first < len(texts):
-        # Scores of some texts at a time: their n-grams take far more memory than their words.
-        end, size = first, 0
-        while end < len(texts) and (end == first or size + len(texts[end]) <= TOGETHER):
-            size += len(texts[end])
-            end += 1
-        of, lengths, scores = word_scores(texts[first:end], model)
-        parts.append((of + first, lengths, scores))
-        first = end
+    parts = []
+    for owners, pieces in _parts(texts):
+        # Scores of some pieces at a time: their n-grams take far more memory than their words.
+        of, lengths, scores = word_scores(pieces, model)
+        parts.append((np.array(owners)[of], lengths, scores))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
     text_of, lengths, scores = (np.concatenate([p[i] for p in parts]) for i in range(3))
