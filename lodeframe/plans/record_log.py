@@ -413,7 +413,7 @@ def multi_record_admission(s, d):
     """Batches of two orders; the second expects its record's last seen revision."""
     from pyspark.sql import Window as W
 
-    o = s.read.parquet(f"{d}/orders.parquet").where("o_orderkey < 3000")
+    o = s.read.parquet(f"{d}/orders.parquet")
     batch = F.shiftright("o_orderkey", 1) + 1
     e = o.select(batch.alias("batch_id"), (F.col("o_custkey") + 1).alias("record_id"), "o_orderkey")
     seen = F.lag("batch_id", 1, 0).over(W.partitionBy("record_id").orderBy("o_orderkey"))

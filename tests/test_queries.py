@@ -48,3 +48,22 @@ def test_pinned_figures(spark, sf_dir):
     assert (p.nodes, p.bytes) == (1500, 204000)
     q = QUERIES["segment_rotation"](spark, sf_dir).selectExpr("max(segment_id) m", "sum(segment_id) s", "sum(seg_off) o").first()
     assert (q.m, q.s, q.o) == (3, 1784, 469161824)
+
+
+def test_every_order_batch_is_answered(spark, sf_dir, duck):
+    """multi_record_admission over all orders, against a plain serial pass."""
+    seen, batches = {}, {}
+    for order, customer in duck.sql("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey").fetchall():
+        batch, record = order // 2 + 1, customer + 1
+        last = seen.get(record, 0)
+        seen[record] = batch
+        expected = last if order % 2 == 1 and last != batch else None
+        entries = batches.setdefault(batch, {})
+        entries[record] = expected if entries.get(record) is None else max(entries[record], expected or 0)
+    state, want = {}, {}
+    for batch, entries in sorted(batches.items()):
+        want[batch] = all(e is None or state.get(r, 0) == e for r, e in entries.items())
+        if want[batch]:
+            state.update(dict.fromkeys(entries, batch))
+    got = QUERIES["multi_record_admission"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {r.batch_id: r.accepted for r in got} == want
