@@ -7,10 +7,10 @@ anchors of an edited text are those of its unchanged parts, plus those across
 the seams. About 2 in K - S + 1 k-mers are chosen, and no gap between two is
 longer than K - S.
 
-A fingerprint keeps the KEEP anchors with the least hashes (each at its first
-place) with their positions. Two fingerprints are likened over the least hashes
-of their union: the share that both hold in the same order, the order being the
-longest increasing run of positions.
+A fingerprint holds every anchor with its position, so it grows with the text.
+Two fingerprints are likened over their union as multisets, the i-th place of a
+hash in one being paired with its i-th in the other: the share that both hold in
+the same order, the order being the longest increasing run of positions.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.common import U64, lean, mix, slices, trimmed
 
-K, S, KEEP = 24, 9, 64
+K, S = 24, 9
 _WINDOW = K - S + 1
 _MULT = np.random.default_rng(5).integers(1, 1 << 62, K, dtype=np.uint64) * U64(2) + U64(1)
 #: Code points that numpy works on at once.
@@ -67,14 +67,10 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keep(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The KEEP least distinct hashes, ascending, each with its first position."""
-    if len(h) > 4 * KEEP:
-        some = h <= np.partition(h, 2 * KEEP)[2 * KEEP]
-        if len(np.unique(h[some])) >= KEEP:
-            at, h = at[some], h[some]
-    # Positions ascend, so unique's first index is the first place.
-    h, first = np.unique(h, return_index=True)
-    return at[first][:KEEP], h[:KEEP]
+    """All anchors by hash, those of one hash by position."""
+    # Positions ascend, so a stable sort leaves them so within a hash.
+    order = np.argsort(h, kind="stable")
+    return at[order], h[order]
 
 
 def written(at: np.ndarray, h: np.ndarray) -> str:
@@ -91,17 +87,28 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """From 0 to 1; of two empty fingerprints 1, of an empty and another 0."""
     if not len(a[1]) or not len(b[1]):
         return float(len(a[1]) == len(b[1]))
-    union = np.union1d(a[1], b[1])[:KEEP]
-    both, i, j = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
-    inside = both <= union[-1]
+    # Where the pair of each of a's places is, if b holds the hash so often.
+    n = np.arange(len(a[1]))
+    starts = np.concatenate(([True], a[1][1:] != a[1][:-1]))
+    where = np.searchsorted(b[1], a[1]) + n - np.maximum.accumulate(np.where(starts, n, 0))
+    inside = where < len(b[1])
+    inside[inside] = b[1][where[inside]] == a[1][inside]
     if not inside.any():
         return 0.0
-    order = np.argsort(a[0][i[inside]], kind="stable")
-    tails: list[int] = []
-    for x in b[0][j[inside]][order].tolist():
-        where = bisect_left(tails, x)
-        tails[where : where + 1] = [x]
-    return len(tails) / len(union)
+    order = np.argsort(a[0][inside], kind="stable")
+    places = b[0][where[inside]][order]
+    both = len(places)
+    if (places[1:] > places[:-1]).all():
+        run = both
+    else:
+        tails: list[int] = []
+        for x in places.tolist():
+            if not tails or x > tails[-1]:
+                tails.append(x)
+            else:
+                tails[bisect_left(tails, x)] = x
+        run = len(tails)
+    return run / (len(a[1]) + len(b[1]) - both)
 
 
 def _edited(text: str, own: tuple, other: str, others: tuple) -> tuple[str, tuple]:

@@ -406,6 +406,21 @@ def test_fingerprints_equal_direct_ones(spark, docs, none, partitions):
     assert same.count() == 3
 
 
+def test_fingerprints_hold_every_anchor():
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = letters(300)
+    a, b = letters(9000) + shared + letters(9000), letters(4000) + shared + letters(14000)
+    one, two = (syncmers.keep(*syncmers.anchors(t)) for t in (a, b))
+    assert sorted(one[0].tolist()) == syncmers.anchors(a)[0].tolist() and syncmers.read(syncmers.written(*one))[0].tolist() == one[0].tolist()
+    inside = sum(9000 <= p <= 9300 - syncmers.K for p in one[0].tolist())
+    assert inside > 10 and syncmers.likeness(one, two) == inside / (len(one[0]) + len(two[0]) - inside)
+    # A passage that comes again counts each time.
+    thrice, once = (syncmers.keep(*syncmers.anchors(shared * n)) for n in (3, 1))
+    assert len(thrice[0]) > 2.5 * len(once[0]) and syncmers.likeness(thrice, once) == len(once[0]) / len(thrice[0])
+    assert syncmers.likeness(thrice, thrice) == 1.0
+
+
 # 9 Language
 
 
