@@ -7,8 +7,14 @@ anchors of an edited text are those of its unchanged parts, plus those across
 the seams. About 2 in K - S + 1 k-mers are chosen, and no gap between two is
 longer than K - S.
 
+Texts of under 4 K code points have anchors of shorter k-mers too (FINER), so
+that the two thirds that an edit leaves always yield some. Two fingerprints are
+likened by the shortest k-mers that both have; a text of under 24 code points
+and one of 96 or more have none in common, nor one of under 8 and one of 24 or
+more: their likeness is 0.
+
 A fingerprint holds every anchor with its position, so it grows with the text.
-Two fingerprints are likened over their union as multisets, the i-th place of a
+The likeness is taken over the union as multisets, the i-th place of a
 hash in one being paired with its i-th in the other: the share that both hold in
 the same order, the order being the longest increasing run of positions.
 """
@@ -27,43 +33,61 @@ from pyspark.sql import functions as F
 from lodeframe.llm.common import U64, lean, mix, slices, trimmed
 
 K, S = 24, 9
-_WINDOW = K - S + 1
+#: (k, s, limit): texts of under ``limit`` code points have closed syncmers (k, s) too. The limits leave a longer text and what an edit makes of it one k in common.
+FINER = ((8, 3, 4 * K), (2, 1, K))
 _MULT = np.random.default_rng(5).integers(1, 1 << 62, K, dtype=np.uint64) * U64(2) + U64(1)
 #: Code points that numpy works on at once.
 PART = 1 << 18
 
 
-def _part(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _part(points: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     p = points.astype(np.uint64)
-    n = len(p) - S + 1
+    window = k - s + 1
+    n = len(p) - s + 1
     inner = p[:n] * _MULT[0]
-    for j in range(1, S):
+    for j in range(1, s):
         inner += p[j : n + j] * _MULT[j]
     inner = mix(inner)
     least = inner
     width = 1
-    while width * 2 <= _WINDOW:
+    while width * 2 <= window:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
-    if width < _WINDOW:
-        least = np.minimum(least[: len(inner) - _WINDOW + 1], least[_WINDOW - width :])
-    m = len(inner) - _WINDOW + 1
-    at = np.flatnonzero((inner[:m] == least) | (inner[_WINDOW - 1 :] == least))
+    if width < window:
+        least = np.minimum(least[: len(inner) - window + 1], least[window - width :])
+    m = len(inner) - window + 1
+    at = np.flatnonzero((inner[:m] == least) | (inner[window - 1 :] == least))
     h = np.zeros(len(at), np.uint64)
-    for j in range(K):
+    for j in range(k):
         h += p[at + j] * _MULT[j]
     return at, mix(h ^ U64(0x5851F42D4C957F2D))
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _all(points: np.ndarray, k: int, s: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of all closed syncmers (k, s); the last two bits of a hash are its level."""
+    found = [(i, *_part(points[i : i + PART + k - 1], k, s)) for i in range(0, len(points) - k + 1, PART)]
+    at, h = (np.concatenate(x) for x in ([i + at for i, at, _ in found], [h for _, _, h in found]))
+    return at, (h & ~U64(3)) | U64(level)
+
+
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of all closed syncmers of a text; a text shorter than K is one anchor at 0, an empty one has none."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    """Positions, ascending, and hashes of all closed syncmers of a text, of all levels that its length has; a single code point is one anchor at 0, an empty text has none."""
+    points = _points(text)
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(points) < K:
-        return np.zeros(1, np.int64), mix((points.astype(np.uint64) * _MULT[: len(points)]).sum(keepdims=True) + U64(len(points)))
-    found = [(i, *_part(points[i : i + PART + K - 1])) for i in range(0, len(points) - K + 1, PART)]
-    return np.concatenate([i + at for i, at, _ in found]), np.concatenate([h for _, _, h in found])
+    if len(points) == 1:
+        return np.zeros(1, np.int64), (mix(points.astype(np.uint64) * _MULT[:1] + U64(1)) & ~U64(3)) | U64(len(FINER))
+    found = [_all(points, K, S, 0)] if len(points) >= K else []
+    found += [_all(points, k, s, i) for i, (k, s, limit) in enumerate(FINER, 1) if k <= len(points) < limit]
+    if len(found) == 1:
+        return found[0]
+    at, h = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], h[order]
 
 
 def keep(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +111,12 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """From 0 to 1; of two empty fingerprints 1, of an empty and another 0."""
     if not len(a[1]) or not len(b[1]):
         return float(len(a[1]) == len(b[1]))
+    levels = [np.unique(x[1] & U64(3)) for x in (a, b)]
+    if len(levels[0]) > 1 or len(levels[1]) > 1 or levels[0][0] != levels[1][0]:
+        common = np.intersect1d(*levels)
+        if not len(common):
+            return 0.0
+        a, b = ((at[own], h[own]) for at, h in (a, b) for own in [(h & U64(3)) == common[-1]])
     # Where the pair of each of a's places is, if b holds the hash so often.
     n = np.arange(len(a[1]))
     starts = np.concatenate(([True], a[1][1:] != a[1][:-1]))
@@ -118,9 +148,10 @@ def _edited(text: str, own: tuple, other: str, others: tuple) -> tuple[str, tupl
     added = len(new) - cut
     if len(new) < 4 * K or cut < K or added < K or len(text) < K or len(other) < K:
         return new, anchors(new)
-    before = own[0] <= cut - K
-    after = others[0] <= added - K
-    seam = anchors(new[cut - K + 1 : cut + K - 1])
+    # The new text is long, so it has level 0 alone.
+    before = (own[0] <= cut - K) & (own[1] & U64(3) == 0)
+    after = (others[0] <= added - K) & (others[1] & U64(3) == 0)
+    seam = _all(_points(new[cut - K + 1 : cut + K - 1]), K, S, 0)
     return new, (np.concatenate((own[0][before], seam[0] + (cut - K + 1), others[0][after] + cut)), np.concatenate((own[1][before], seam[1], others[1][after])))
 
 

@@ -421,6 +421,20 @@ def test_fingerprints_hold_every_anchor():
     assert syncmers.likeness(thrice, thrice) == 1.0
 
 
+def test_short_texts_share_anchors_with_their_edits():
+    rng = random.Random(12)
+    for n in range(3, 200):
+        for size in (n // 3, n // 6):  # the next text may be too short to fill the third
+            text, other = ("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(m)) for m in (n, size))
+            new = text[: n - n // 3] + other
+            own, fresh, apart = (syncmers.keep(*syncmers.anchors(t)) for t in (text, new, other * 9))
+            assert syncmers.likeness(own, fresh) > 0.1 > syncmers.likeness(own, apart) and syncmers.likeness(own, own) == 1.0
+            # Anchors put together from those of the parts are those of the text.
+            for o in (other, other * 9):
+                made, found = syncmers._edited(text, syncmers.anchors(text), o, syncmers.anchors(o))
+                assert [x.tolist() for x in syncmers.anchors(made)] == [x.tolist() for x in found]
+
+
 # 9 Language
 
 
