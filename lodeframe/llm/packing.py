@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 import re
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,29 +28,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import lean, slices, trimmed
+from lodeframe.llm.common import U64, lean, mix, slices, trimmed
 
 CAPACITY = 2048
 WINDOW = 512
 #: Unfilled ids for which no item is cut.
 TOLERANCE = 8
-#: Distinct words whose ids a worker keeps.
-REMEMBER = 150_000
-
-
-#: Texts of these characters only need no Unicode normalisation, and their words are found by PLAIN_WORD.
-NOT_PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7e¡¿À-ÖØ-öø-ÿ]|<\|")
-PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Plain words whose ids a worker keeps, at most; their ids are at most four times as many.
+REMEMBER = 300_000
+#: Words of other texts that are kept, at most, twice over.
+MIXED = 20_000
+#: A longer word is encoded each time.
+LONGEST = 128
+#: Bytes of text that are encoded at once.
+TOGETHER = 2 << 20
+
+#: Texts of these characters only, in Latin-1, need no Unicode normalisation, and their words are found by numpy.
+PLAIN = bytes(c for c in range(256) if c < 28 or 32 <= c < 127 or c in (0xA1, 0xBF) or c >= 0xC0 and c not in (0xD7, 0xF7))
+LOWER = bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Kinds of plain characters: white space, letters, digits, all others.
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(9, 14), 32]] = _BLANK
+_KIND[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KIND[48:58] = _DIGIT
+#: Letters after an apostrophe that are one word with it.
+_ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def plain_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-case plain text, as the tokenizer splits it: runs of letters, single digits, runs of other characters, and an apostrophe with one of _ENDINGS."""
+    kind = _KIND[raw]
+    starts = np.concatenate((np.zeros(1, np.int64), np.flatnonzero((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) + 1))
+    ends = np.append(starts[1:], len(raw))
+    of = kind[starts]
+    # An apostrophe on its own before letters: with an ending of one or two letters it is a word, and what is left of the letters is another one.
+    mark = np.flatnonzero((raw[starts[:-1]] == 39) & (ends[:-1] - starts[:-1] == 1) & (of[1:] == _LETTER))
+    if len(mark):
+        at, room = starts[mark + 1], ends[mark + 1] - starts[mark + 1]
+        takes = np.zeros(len(mark), np.int64)
+        for x in _ENDINGS:
+            fits = room >= len(x)
+            for j, c in enumerate(x):
+                fits[fits] = raw[at[fits] + j] == c
+            takes[fits] = len(x)
+        ends[mark] += takes
+        starts[mark + 1] += takes
+    kept = (of != _BLANK) & (starts < ends)
+    return starts[kept], ends[kept]
+
+
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of single-byte text, eight bytes at a time; among words of one length up to 8 no two share one."""
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
+    at, left = starts, ends - starts
+    out = mix((eights[at] & _HEAD[np.minimum(left, 8)]) ^ left.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero(left > 8)
+    at, left = at[more], left[more]
+    while len(more):
+        at, left = at + 8, left - 8
+        out[more] = mix(out[more] + U64(0xA0761D6478BD642F) ^ (eights[at] & _HEAD[np.minimum(left, 8)]))
+        on = left > 8
+        more, at, left = more[on], at[on], left[on]
+    return out
 
 
 class WordIds:
-    """Token ids of texts by a lower-casing BPE tokenizer with word ends that drops white space, each word's ids remembered.
+    """Token ids of texts by a lower-casing BPE tokenizer with word ends that drops white space, words' ids remembered.
 
     Such a tokenizer treats words on their own, so a text's ids are those of
-    its words in a row. Plain texts are split as the tokenizer splits them;
-    others at white space; texts with the information separators x1C to x1F,
-    which ``str.split`` would cut at too, go through the tokenizer whole.
+    its words in a row. Plain texts are split by ``plain_words``; others at
+    white space; texts with the information separators x1C to x1F, which
+    ``str.split`` would cut at too, go through the tokenizer whole. Ids of
+    plain words lie in one flat array, from which a batch's ids are gathered at
+    once. When words or ids pass their bound, the half of the words that came
+    most often stays, so memory is bounded and frequent words aren't forgotten.
     """
 
     def __init__(self, path: str):
@@ -62,47 +116,113 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Ids of single words, encoded together and cut after each word's last id."""
-        out: list[bytes] = []
+        #: Plain words' keys in order; where their ids start in ``flat``, how many they are, how often the word came.
+        self.keys = np.zeros(0, np.uint64)
+        self.starts, self.lengths, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(4096, "<u4"), 0
+        self.odd = 0
+        self.young: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single plain words in a row and how many each has: encoded together, cut after each word's last id."""
+        ids, counts = [], []
         parts = [words[i : i + 500] for i in range(0, len(words), 500)]
         for some, encoding in zip(parts, self.tokenizer.encode_batch_fast([" ".join(some) for some in parts], add_special_tokens=False)):
-            ids = np.array(encoding.ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            got = np.array(encoding.ids, "<u4")
+            stops = np.flatnonzero(self.ends[got]) + 1
             if len(stops) != len(some):
-                out += self._whole(some)
-                continue
-            raw, at = ids.tobytes(), (4 * stops).tolist()
-            out += [raw[a:b] for a, b in zip([0, *at], at)]
-        return out
+                each = self._whole(some)
+                got, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            counts.append(np.diff(stops, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, hits: np.ndarray) -> None:
+        """Takes in words with new ``keys``, which ascend."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        starts = self.used + np.cumsum(counts) - counts
+        self.keys, self.starts, self.lengths, self.hits = (np.insert(x, at, y) for x, y in ((self.keys, keys), (self.starts, starts), (self.lengths, counts), (self.hits, hits)))
+        self.used += len(ids)
+
+    def _forget(self) -> None:
+        if len(self.keys) <= REMEMBER and self.used <= 4 * REMEMBER:
+            return
+        order = np.argsort(-self.hits, kind="stable")
+        order = np.sort(order[np.cumsum(self.lengths[order]) <= 2 * REMEMBER][: REMEMBER // 2])
+        keys, ids, counts, hits = self.keys[order], self._gather(order), self.lengths[order], self.hits[order] // 2
+        self.keys, self.starts, self.lengths, self.hits = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+        self.used = 0
+        self._learn(keys, ids, counts, hits)
+
+    def _gather(self, words: np.ndarray) -> np.ndarray:
+        """The ids of these words in a row."""
+        counts = self.lengths[words]
+        ends = np.cumsum(counts)
+        return self.flat[np.repeat(self.starts[words] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts in Latin-1."""
+        raw = np.frombuffer(b"\n".join([*texts, b""]).translate(LOWER), np.uint8)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        starts, ends = plain_words(raw)
+        keys = word_keys(raw, starts, ends)
+        long = np.flatnonzero(ends - starts > LONGEST)
+        # Keys that are met only once: such a word is encoded, and forgotten for want of hits.
+        self.odd += len(long)
+        keys[long] = mix(np.arange(self.odd - len(long), self.odd, dtype=np.uint64) ^ U64(0xD1B54A32D192ED03))
+        distinct, first, at, hits = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        where = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = where < len(self.keys)
+        new[inside] = self.keys[where[inside]] != distinct[inside]
+        if new.any():
+            spelled = [raw[a:b].tobytes().decode("latin-1") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())]
+            self._learn(distinct[new], *self._singly(spelled), 0)
+            where = np.searchsorted(self.keys, distinct)
+        self.hits[where] += hits
+        each = where[at]
+        ids = self._gather(each)
+        cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.lengths[each])))[np.searchsorted(starts, begins)].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _mixed(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of other texts, which white space splits into words."""
+        words = [t.split() for t in texts]
+        if len(self.young) > MIXED:
+            self.young, self.old = {}, self.young
+        have = {w: self.young.get(w, self.old.get(w)) for w in set(chain.from_iterable(words))}
+        new = [w for w, ids in have.items() if ids is None]
+        have.update(zip(new, self._whole(new)))
+        self.young.update((w, ids) for w, ids in have.items() if len(w) <= LONGEST)
+        none = np.zeros(0, "<u4")
+        return [np.concatenate([none, *map(have.__getitem__, ws)]) for ws in words]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words: list[list[str] | None] = []
-        plain: list[list[str]] = []
-        mixed: list[list[str]] = []
-        for t in texts:
-            if not NOT_PLAIN.search(t):
-                plain.append(PLAIN_WORD.findall(t.lower()))
-                words.append(plain[-1])
-            elif SEPARATORS.search(t):
-                words.append(None)
+        """A text's ids each. Memory follows ``texts`` and what is remembered."""
+        self._forget()
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        plain, mixed, whole = {}, {}, {}
+        for i, t in enumerate(texts):
+            try:
+                raw = t.encode("latin-1")
+            except UnicodeEncodeError:
+                raw = None
+            if raw is not None and not raw.translate(None, PLAIN) and b"<|" not in raw:
+                plain[i] = raw
             else:
-                mixed.append(t.split())
-                words.append(mixed[-1])
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        for some, encode in ((plain, self._plain), (mixed, self._whole)):
-            if new := list(set(chain.from_iterable(some)).difference(known)):
-                known.update(zip(new, encode(new)))
-        whole = iter(self._whole([t for t, ws in zip(texts, words) if ws is None]))
-        get = known.__getitem__
-        return [np.frombuffer(next(whole) if ws is None else b"".join(map(get, ws)), "<u4") for ws in words]
+                (whole if SEPARATORS.search(t) else mixed)[i] = t
+        for encode, some in ((self._plain, plain), (self._mixed, mixed), (self._whole, whole)):
+            if some:
+                for i, ids in zip(some, encode(list(some.values()))):
+                    out[i] = ids
+        return out
 
 
 def fill(lengths: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -228,7 +348,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             )
 
         end = np.array([end_id], "<u4")
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", TOGETHER):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids = np.concatenate((ids, end))
