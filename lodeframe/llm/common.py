@@ -162,6 +162,13 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def sampled(df: DataFrame, share: float, *key: str | Column) -> DataFrame:
+    """About a ``share`` of the rows, drawn by a 64-bit hash of ``key``, the same in each run; all of them from a share of 1 on. Any share that a table of up to 2**63 rows can ask for has hashes below its bound."""
+    if share >= 1:
+        return df
+    return df.where(F.xxhash64(F.lit("sample"), *key) < F.lit(int(share * 2.0**64) - (1 << 63)).cast("long"))
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 

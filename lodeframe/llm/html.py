@@ -1,11 +1,16 @@
 """Main text of web pages by minimum cut.
 
 A page becomes a row of text blocks, each with its path of elements. A logistic
-classifier on what a block and its path look like gives the cost of calling it
-content or boilerplate: these are the capacities to the two terminals. Blocks
-next to each other, and blocks that share a close parent, are tied by edges
-whose capacity falls with their distance in the tree. The minimum cut of this
-graph is the labelling of least total cost; content blocks are joined.
+classifier on a block's own text, links, place and depth gives the cost of
+calling it content or boilerplate; what its path is called (``mark``) is one
+more term of fixed weight. These costs are the capacities to the two terminals.
+Blocks next to each other, and blocks that share a close parent, are tied by
+edges whose capacity falls with their distance in the tree. The minimum cut of
+this graph is the labelling of least total cost; content blocks are joined.
+
+The classifier sees nothing of the marks that label its training blocks. So it
+takes short lines of an article for boilerplate, and a name like share-price
+speaks against a paragraph; it is the ties to the blocks around that decide.
 
 Scripts, styles, comments of the markup, head, forms and the like are no text
 and never become blocks.
@@ -14,6 +19,7 @@ and never become blocks.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -23,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import lean, slices, trimmed
+from lodeframe.llm.common import lean, sampled, slices, trimmed
 
-#: Capacity between neighbouring blocks under one parent; it halves with each step of distance in the tree.
-SMOOTH = 1.2
+#: Capacity between neighbouring blocks under one parent, which halves with each step of distance in the tree, and between a parent's blocks and the one of them with most text.
+SMOOTH, HUB = 1.2, 1.0
+#: What a mark of 1 changes in the cost.
+MARK_COST = 7.0
 #: Pages that the classifier is fitted on, at most; taken by a hash of page_id.
 TRAIN_PAGES = 2000
 #: A block costs at most this much more as one class than as the other.
@@ -34,28 +42,34 @@ MOST_COST = 8.0
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 #: Elements whose text is never part of an article.
-SKIPPED = RAW | {"head", "form", "select", "option", "button", "svg", "math", "canvas", "template", "object", "audio", "video", "map", "datalist", "dialog"}
+SKIPPED = RAW | {"head", "form", "select", "option", "button", "svg", "annotation", "annotation-xml", "canvas", "template", "object", "audio", "video", "map", "datalist", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 #: An opening tag of the key closes an open element of the value, up to the nearest of SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "menu", "div", "article", "section", "body", "html"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Quotes count only where a value begins; elsewhere they are characters like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+)?+)*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
-#: Words in classes, ids and roles that mark boilerplate, those that do so where no word of GOOD_NAMES is by, and those of content.
-BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus disclaimer feedback footer foot gdpr masthead menu menubar modal nav navbar navigation newsletter notice notification pagination pager popup popover promo promotion promoted recommended related replies reply reviews sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar topbar trending widget widgets".split())
-WEAK_NAMES = frozenset("alert byline form header hero login logo meta rail search share sharing tags toc complementary contentinfo".split())
-GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
+#: Words in classes, ids and roles that mark boilerplate.
+BAD_NAMES = frozenset("ad ads adv advert adverts advertisement advertising alert banner billboard breadcrumb breadcrumbs byline comment commentlist comments complementary consent contentinfo cookie cookies copyright disclaimer disqus feedback foot footer form gdpr head header login logo masthead menu menubar meta modal nav navbar navigation newsletter notice notification pager pagination popover popup promo promoted promotion rail recommended related replies reply reviews search share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription tags teaser toc toolbar topbar trending widget widgets".split())
+#: Those of them that have other senses in company, as in share-price or related-work.
+UNSURE_NAMES = frozenset("alert banner byline foot form head logo meta notice rail recommended related replies reply reviews search share sharing tags trending".split())
+#: Words that say where or what kind of box it is: beside one of BAD_NAMES they leave it as strong, while any other word takes half of it, or most if it is unsure.
+PLAIN_NAMES = frozenset("aside area article articles bar block body bottom box btn button buttons card cell col column container content footer fixed global group header holder icon icons inner item items left line link links list main module new news outer page panel post posts primary right row secondary section site slot stories story sub text top unit wrap wrapper".split())
+GOOD_NAMES = frozenset("article body content entry main post story text".split())
 #: An article element is boilerplate by these names only.
 NO_ARTICLE = frozenset("ad ads advert comment comments promo related reply replies teaser".split())
 #: Class names like has-sidebar or comments-open say what else a page has.
 ABOUT = re.compile(r"^(?:has|with|without|no|is|js)[-_]|[-_](?:open|closed|enabled|disabled)$")
 BAD_TAGS = frozenset("nav footer aside menu header".split())
 GOOD_TAGS = frozenset("article main".split())
+#: What speaks for an article, against 1 for what speaks against it.
+GOOD = 0.2
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -67,9 +81,9 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. A path is a tuple of (tag, kind, number) of elements; white space in a block is one space."""
+    """Text blocks in page order. A path is a tuple of (tag, sign of ``named``, number) of elements; white space in a block is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, float, int]] = []
     texts: list[str] = []
     linked = 0
     skip = 0  # depth of the outermost skipped element, or 0
@@ -163,64 +177,78 @@ def blocks(page: str) -> list[Block]:
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        stack.append((tag, kind(tag, attributes) if "=" in attributes else 0, serial))
+        stack.append((tag, named(tag, attributes), serial))
         if tag == "a":
             in_link += 1
         if not skip and (tag in SKIPPED or (attributes and HIDDEN.search(attributes))):
-            flush()
+            if tag in BLOCK:
+                flush()
             skip = len(stack)
     flush()
     return out
 
 
-def kind(tag: str, attributes: str) -> int:
-    """-1 if an element's names mark boilerplate, 1 for content, else 0."""
+def named(tag: str, attributes: str) -> float:
+    """From -1, an element's tag and names say boilerplate, to GOOD, they say article; 0: nothing. A name of which half the words say boilerplate counts half, or an eighth if they are unsure ones."""
     if tag in ("html", "body"):
-        return 0
-    names = {w for n in NAMES.finditer(attributes) for token in (n[1] or n[2] or n[3] or "").lower().split() if not ABOUT.search(token) for w in WORDS.findall(token)}
-    if tag in GOOD_TAGS:
-        return -1 if names & NO_ARTICLE else 0
-    if names & BAD_NAMES:
-        return -1
-    if names & GOOD_NAMES:
-        return 1
-    return -1 if names & WEAK_NAMES else 0
+        return 0.0
+    if tag in BAD_TAGS:
+        return -1.0
+    bad_words = NO_ARTICLE if tag in GOOD_TAGS else BAD_NAMES
+    worst, good = 0.0, tag in GOOD_TAGS
+    if "=" in attributes:
+        for n in NAMES.finditer(attributes):
+            for token in (n[1] or n[2] or n[3] or "").split():
+                if ABOUT.search(token.lower()):
+                    continue
+                words = [w.lower() for w in WORDS.findall(token)]
+                bad = sum(w in bad_words for w in words)
+                if bad:
+                    sure = any(w in bad_words and w not in UNSURE_NAMES for w in words)
+                    worst = max(worst, (bad / sum(w in bad_words or w not in PLAIN_NAMES for w in words)) ** (1 if sure else 3))
+                good = good or any(w in GOOD_NAMES for w in words)
+    return -worst if worst else GOOD if good else 0.0
+
+
+def mark(path: tuple) -> float:
+    """What a path's elements say together: the worst of them, made up for by a good one inside it unless it is nearly sure. A header inside an article is the article's."""
+    worst = best = 0.0
+    article = False
+    for tag, sign, _ in path:
+        if sign < 0 and not (tag == "header" and article):
+            if sign <= worst:
+                worst, best = sign, 0.0
+        elif sign > 0:
+            article = article or tag in GOOD_TAGS
+            best = sign
+    return worst if worst <= -0.9 else worst + best
 
 
 #: What short lines around an article hold.
-MARKS = re.compile(r"[©|»·]|copyright|all rights reserved", re.I)
-FEATURES = 15
+MARKS = re.compile(r"©|copyright|all rights reserved", re.I)
+FEATURES = 10
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """Looks of each block: FEATURES numbers near 0 to 1."""
+    """Looks of each block by itself, without any name: FEATURES numbers near 0 to 1."""
     out = np.zeros((len(found), FEATURES), np.float64)
     n = max(1, len(found))
     for i, b in enumerate(found):
-        tags = [e[0] for e in b.path]
-        good = max((j for j, e in enumerate(b.path) if e[0] in GOOD_TAGS), default=-1)
-        # A header inside an article is the article's; what names boilerplate counts at any depth.
-        bad = max((j for j, e in enumerate(b.path) if e[0] in BAD_TAGS and not (e[0] == "header" and good >= 0)), default=-1)
-        named_bad = max((j for j, e in enumerate(b.path) if e[1] < 0), default=-1)
-        named_good = max((j for j, e in enumerate(b.path) if e[1] > 0), default=-1)
+        own = b.path[-1][0] if b.path else ""
         words = b.text.count(" ") + 1
-        ends = b.text[-1] in ".!?…。！？»\"”"
-        out[i] = (1, min(1.0, np.log1p(len(b.text)) / 7), b.linked / len(b.text), ends, words >= 8, tags[-1] in HEADS if tags else 0, (tags[-1] == "p") if tags else 0, "li" in tags, good >= 0, bad >= 0, named_bad >= 0, named_good > named_bad and named_good >= 0, i / n, b.text.count(",") / words, len(b.text) < 160 and bool(MARKS.search(b.text)))
+        out[i] = (1, min(1.0, math.log1p(len(b.text)) / 7), b.linked / len(b.text), b.text[-1] in ".!?…。！？»\"”", words >= 8, own in HEADS, i / n, b.text.count(",") / words, len(b.text) < 160 and bool(MARKS.search(b.text)), min(len(b.path), 20) / 20)
     return out
 
 
 #: Weights before any fit, in the order of features(): what the fit starts from and is drawn towards.
-PRIOR = np.array([-1.0, 2.0, -4.0, 0.8, 0.8, 0.5, 1.0, -0.4, 2.5, -7.0, -7.0, 1.5, 0.0, 0.5, -3.0])
+PRIOR = np.array([-2.5, 4.0, -5.0, 1.0, 1.0, 1.5, 0.0, 0.5, -3.0, 0.0])
 
 
 def weak_labels(found: list[Block]) -> np.ndarray:
-    """1 under article or main without any sign of boilerplate, 0 under such a sign, else -1."""
-    out = np.full(len(found), -1, np.int8)
-    for i, b in enumerate(found):
-        good = any(e[0] in GOOD_TAGS for e in b.path)
-        bad = any((e[0] in BAD_TAGS and not (e[0] == "header" and good)) or e[1] < 0 for e in b.path)
-        out[i] = 0 if bad else 1 if good else -1
-    return out
+    """By marks alone, which the classifier does not see: 1 inside an article, 0 where boilerplate is sure, else -1."""
+    marks = marks_of(found)
+    inside = np.array([any(e[0] in GOOD_TAGS for e in b.path) for b in found], bool)
+    return np.where(marks <= -0.9, 0, np.where((marks > 0) & inside, 1, -1)).astype(np.int8)
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 20.0, rounds: int = 20) -> np.ndarray:
@@ -240,10 +268,12 @@ def fit(x: np.ndarray, y: np.ndarray, pull: float = 20.0, rounds: int = 20) -> n
     return w
 
 
-def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
-    """Ties of blocks: each to the next one, and to the last block before it under each of its two nearest parents. A heading goes with what follows it rather than with what is before it."""
+def edges(found: list[Block], marks: np.ndarray, smooth: float = SMOOTH, hub: float = HUB) -> list[tuple[int, int, float]]:
+    """Ties of blocks: each to the next one, to the last block before it under each of its two nearest parents, and to the block with most text, of those that aren't surely boilerplate by their ``marks``, under each of the two elements around it. A heading goes with what follows it rather than with what is before it; ties into what is surely boilerplate are half as strong."""
     out = []
     last: dict[int, int] = {}
+    largest: dict[int, int] = {}
+    sizes = [len(b.text) - b.linked if m > -0.9 else -1 for b, m in zip(found, marks.tolist())]
     for i, b in enumerate(found):
         mine = [e[2] for e in b.path]
         if i:
@@ -256,7 +286,16 @@ def edges(found: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, fl
             if j is not None and j != i - 1 and b.path[-1][0] not in HEADS:
                 out.append((j, i, smooth * 0.5 ** (up + 1)))
             last[e] = i
-    return out
+        for e in mine[-3:-1]:
+            if e not in largest or sizes[i] > sizes[largest[e]]:
+                largest[e] = i
+    for i, b in enumerate(found):
+        for up, (tag, _, e) in enumerate(b.path[-3:-1][::-1]):
+            # Blocks under the body are whatever the page has.
+            if largest[e] != i and tag not in ("body", "html"):
+                out.append((i, largest[e], hub * 0.5**up))
+    sure = (marks <= -0.9).tolist()
+    return [(i, j, c * (0.5 if sure[i] != sure[j] else 1.0)) for i, j, c in out]
 
 
 def min_cut(costs: np.ndarray, ties: list[tuple[int, int, float]]) -> np.ndarray:
@@ -327,21 +366,34 @@ def min_cut(costs: np.ndarray, ties: list[tuple[int, int, float]]) -> np.ndarray
                 node = to[path.pop() ^ 1]
 
 
+def marks_of(found: list[Block]) -> np.ndarray:
+    return np.array([mark(b.path) for b in found], np.float64)
+
+
+def leanings(found: list[Block], weights: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How much more each block costs as boilerplate than as content, before the cut."""
+    return np.clip(features(found) @ weights + MARK_COST * marks, -MOST_COST, MOST_COST)
+
+
+def content(found: list[Block], weights: np.ndarray = PRIOR) -> np.ndarray:
+    """Whether each block is content, by the minimum cut."""
+    if not found:
+        return np.zeros(0, bool)
+    marks = marks_of(found)
+    z = leanings(found, weights, marks)
+    return min_cut(np.stack((np.logaddexp(0, z), np.logaddexp(0, -z)), axis=1), edges(found, marks))
+
+
 def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
     found = blocks(page)
-    if not found:
-        return ""
-    z = np.clip(features(found) @ weights, -MOST_COST, MOST_COST)
-    costs = np.stack((np.logaddexp(0, z), np.logaddexp(0, -z)), axis=1)
-    return "\n".join(b.text for b, c in zip(found, min_cut(costs, edges(found))) if c)
+    return "\n".join(b.text for b, c in zip(found, content(found, weights)) if c)
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
-    """Weights fitted on weakly labelled blocks of at most about ``most`` pages; the driver gets sums, not pages."""
-    rows = pages.where("html is not null").select("page_id", F.col("html").cast("string").alias("html"))
-    share = most / max(1, rows.select("page_id").count())
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("train"), "page_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Weights fitted on weakly labelled blocks of about ``most`` pages, or all; 64 blocks a page at most, which is what the driver gets of them: FEATURES numbers each."""
+    rows = pages.where("html is not null").select("page_id", "url", F.col("html").cast("string").alias("html"))
+    # Only pages that are equal in all three can be drawn together; the limit is for those.
+    rows = sampled(rows, most / max(1, rows.select("page_id").count()), "page_id", "url", F.col("html")).limit(4 * most)
 
     def looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
@@ -349,9 +401,9 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES) -> np.ndarray:
             for page in batch.column("html").to_pylist():
                 found = blocks(page)
                 # At most 64 blocks of a page, evenly spaced: long pages don't outweigh the others.
-                found = found[:: max(1, len(found) // 64)]
-                y = weak_labels(found)
-                xs.append(features(found)[y >= 0])
+                every = -(-len(found) // 64) or 1
+                y = weak_labels(found)[::every]
+                xs.append(features(found)[::every][y >= 0])
                 ys.append(y[y >= 0])
             if xs:
                 x, y = np.concatenate(xs), np.concatenate(ys)
