@@ -33,9 +33,9 @@ _BASE = int(_RNG.integers(1 << 62, 1 << 63, dtype=np.uint64)) * 2 + 1 & (1 << 64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE[_SPACE] = 0
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BYTE[SPACE] = 0
 _POWERS: dict[int, np.ndarray] = {}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -111,15 +111,15 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while pos < n:
         end = min(n, pos + CHUNK)
         if end < n:
-            back = np.flatnonzero(_SPACE[raw[pos:end]] | cuts[pos + 1 : end + 1])
+            back = np.flatnonzero(SPACE[raw[pos:end]] | cuts[pos + 1 : end + 1])
             if len(back):
                 end = pos + int(back[-1]) + 1
             else:
-                while end < n and not cuts[end] and not _SPACE[raw[end - 1]]:
-                    step = np.flatnonzero(_SPACE[raw[end : end + CHUNK]] | cuts[end + 1 : end + 1 + len(raw[end : end + CHUNK])])
+                while end < n and not cuts[end] and not SPACE[raw[end - 1]]:
+                    step = np.flatnonzero(SPACE[raw[end : end + CHUNK]] | cuts[end + 1 : end + 1 + len(raw[end : end + CHUNK])])
                     end = end + int(step[0]) + 1 if len(step) else min(n, end + CHUNK)
         b = raw[pos:end]
-        solid = ~_SPACE[b]
+        solid = ~SPACE[b]
         opens = solid.copy()
         opens[1:] &= ~solid[:-1] | cuts[pos + 1 : end]
         shuts = solid.copy()

@@ -1,23 +1,35 @@
-"""Stupid-backoff scores from the whole corpus's counts.
-
-The relational plan is: explode documents to n-grams, count n-grams in a table
-partitioned by hash, join the counts back to the exploded n-grams, and sum the
-scores by document. To keep it small, n-grams travel in blocks: a block is
-about BLOCK_WORDS words of whole documents, and sends each of its distinct
-n-grams once, with its count in the block, to the n-gram's hash partition. That
-is partial aggregation, and it leaves no hot key: the commonest n-gram is one
-entry of each block. A hash partition adds up the counts of all blocks and
-answers each block in the order of its entries. The join of answers and blocks
-is by block number.
+"""Stupid-backoff scores from the whole corpus's counts, computed relationally.
+
+1. Documents are read in blocks of about BLOCK_WORDS words. A block's distinct
+   n-grams of orders 1 to ORDER, each with its count in the block, go to their
+   hash partitions: that is partial aggregation, and it parts a hot n-gram by
+   blocks, so the commonest is one row a block. On their way the sorted hashes
+   of one block and partition travel as one compressed row (``_requests``),
+   which is exploded on arrival: ``grams`` has a row for each (block, n-gram).
+2. ``counts`` is the count table, partitioned by hash: n-grams with their count
+   in the corpus, of which those in one block only say nothing new.
+3. ``grams`` is joined with ``counts`` by n-gram, inside the hash partitions,
+   and what is found goes back to its block.
+4. A block's documents are scored word by word, and the scores, a row for each
+   document and order, are summed by document.
 
 A document is scored by the counts of all other rows: its own n-grams are taken
-off first. With f the counts so left, N their words and ALPHA the penalty,
-
-    S(w | v) = f(v w) / f(v)              if f(v w) > 0
-             = ALPHA * max(f(w), 1/2) / N else,
-
-and a document's first word has the score without ALPHA. Words are compared by
-64-bit hashes, bigrams by their hash partition and 48 more bits.
+off first. With f the counts so left, N their words and ALPHA the penalty, a
+word w after u v has
+
+    S(w | u v) = f(u v w) / f(u v)                  if f(u v w) > 0
+               = ALPHA * f(v w) / f(v)              else if f(v w) > 0
+               = ALPHA ** 2 * max(f(w), 1/2) / N    else,
+
+and the first words of a document, which have shorter histories, start at the
+order that these allow, without its penalty. Logarithms are summed in whole
+millionths, so the sum doesn't depend on its order.
+
+Words are compared by 64-bit hashes, n-grams by 48 bits and those that choose
+their partition, of which there is one for PART_WORDS words. A (block,
+partition) row holds fewer n-grams the larger the corpus is, from some ten
+thousand at a billion words down to one; then it is a plain row an n-gram, and
+cost is linear in those.
 """
 
 from __future__ import annotations
@@ -30,14 +42,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.common import U64, count_words, lean, mix, slices, trimmed, utf8, word_hashes
+from lodeframe.llm.common import SPACE, U64, lean, mix, slices, trimmed, utf8, word_hashes
 
 ALPHA = 0.4
+ORDER = 3
 #: Words of a block, but for a longer document.
-BLOCK_WORDS = 1_000_000
-#: Words of the corpus for each hash partition, which bounds the entries that a task counts.
-PART_WORDS = 2_500_000
-_PAIR = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))
+BLOCK_WORDS = 1_500_000
+#: Words of the corpus for each hash partition, which bounds the n-grams that a task counts.
+PART_WORDS = 1_500_000
+#: Bits by which n-grams of one partition are told apart.
+KEY_BITS = 48
+#: Parts of a unit in which logarithms are summed.
+UNIT = 1_000_000
+_MULT = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
+#: Joins by (partition, n-gram) may run where the partition's rows are.
+_COLOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -55,6 +74,20 @@ def _unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words of a task's texts."""
+    n = 0
+    for batch in slices(batches, "text"):
+        raw, at = utf8(batch.column("text"))
+        solid = ~SPACE[raw]
+        opens = solid.copy()
+        opens[1:] &= ~solid[:-1]
+        # A text that begins without white space begins with a word.
+        begins = at[:-1][np.diff(at) > 0]
+        n += int(opens.sum() + (solid[begins] & ~opens[begins]).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, docs, lengths, words, sequence): a block's documents, their numbers of words, its distinct words' hashes, the commonest first, and all its words as indices of those."""
     base, number = TaskContext.get().partitionId() << 24, 0
@@ -88,93 +121,122 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Grams:
-    """A block's distinct unigrams and bigrams, in the order of its words and of word pairs, and how they are dealt to hash partitions."""
+    """A block's distinct n-grams of each order in turn: where they are in the block, how often, and their keys."""
 
-    def __init__(self, lengths: bytes, words: bytes, sequence: bytes, parts: int):
+    def __init__(self, lengths: bytes, words: bytes, sequence: bytes):
         self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-        words = np.frombuffer(words, np.uint64)
-        self.words = len(words)
-        self.sequence = _unpacked(sequence, np.uint32).astype(np.int64)
+        self.words = np.frombuffer(words, np.uint64)
+        sequence = _unpacked(sequence, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.pairs = np.flatnonzero(self.doc[1:] == self.doc[:-1])  # a pair's first word
-        code = self.sequence[self.pairs] * max(1, self.words) + self.sequence[self.pairs + 1]
-        codes, self.pair, n = np.unique(code, return_inverse=True, return_counts=True)
-        self.counts = np.concatenate((np.bincount(self.sequence, minlength=self.words), n)).astype(np.uint32)
-        first, second = words[codes // max(1, self.words)], words[codes % max(1, self.words)]
-        h = mix(np.concatenate((words * _PAIR[0], first * _PAIR[0] + second * _PAIR[1] + U64(1))))
-        part = (h % U64(parts)).astype(np.int64)
-        self.order = np.argsort(part, kind="stable")
-        self.keys = ((h // U64(parts)) & U64((1 << 48) - 1))[self.order]
-        self.parts, self.starts = np.unique(part[self.order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(part))
+        #: For each order: first words of its n-grams, which one of the distinct ones each is, counts of these, and their hashes.
+        self.at, self.which, self.counts, self.hashes = [np.arange(len(sequence))], [sequence], [np.bincount(sequence, minlength=len(self.words))], [self.words * _MULT[0]]
+        many = max(1, len(self.words))
+        for k in range(1, ORDER):
+            inside = self.doc[self.at[-1]] == np.append(self.doc, np.full(k, -1))[self.at[-1] + k]
+            at = self.at[-1][inside]
+            codes, which, n = np.unique(self.which[-1][inside] * many + sequence[at + k], return_inverse=True, return_counts=True)
+            self.hashes.append(self.hashes[-1][codes // many] + self.words[codes % many] * _MULT[k] + U64(k))
+            self.at.append(at)
+            self.which.append(which)
+            self.counts.append(n)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order, keys, partitions, starts): the n-grams of all orders by hash partition, their keys, and where each partition's begin."""
+        h = mix(np.concatenate(self.hashes))
+        part = (h % U64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        used, starts = np.unique(part[order], return_index=True)
+        return order, (h // U64(parts))[order] & U64((1 << KEY_BITS) - 1), used, starts
 
 
 def _requests(parts: int):
+    """Rows (part, block, his, los, ns) of each block's n-grams: the upper 32 and lower 16 bits of their keys, and their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lengths, words, sequence in zip(*[batch.column(n).to_pylist() for n in ("block", "lengths", "words", "sequence")]):
-                g = _Grams(lengths, words, sequence, parts)
-                keys = np.ascontiguousarray(g.keys.view(np.uint8).reshape(-1, 8)[:, :6])
-                counts = g.counts[g.order]
-                cut = list(zip(g.starts.tolist(), g.ends.tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(g.parts.astype(np.int32)), pa.array([block] * len(cut), pa.int64()), pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([_packed(counts[a:b]) for a, b in cut], pa.binary())], names=["part", "block", "keys", "counts"])
+                g = _Grams(lengths, words, sequence)
+                order, keys, used, starts = g.dealt(parts)
+                ends = np.append(starts, len(keys))
+                lists = [(keys >> U64(16)).astype(np.uint32).view(np.int32), (keys & U64(0xFFFF)).astype(np.uint16).view(np.int16), np.concatenate(g.counts).astype(np.int32)[order]]
+                for a in range(0, len(used), 64):
+                    b = min(len(used), a + 64)
+                    cut = slice(ends[a], ends[b])
+                    yield pa.RecordBatch.from_arrays([pa.array(used[a:b]), pa.array(np.full(b - a, block)), *[pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(x[cut])) for x in lists]], names=["part", "block", "his", "los", "ns"])
 
     return run
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: each block's entries with the counts of all blocks."""
-
-    def answer(part: int, rows: list[tuple]) -> pa.RecordBatch:
-        sizes = [len(k) // 6 for _, k, _ in rows]
-        wide = np.zeros((sum(sizes), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint8).reshape(-1, 6)
-        keys = wide.view(np.uint64).ravel()
-        counts = np.concatenate([_unpacked(c, np.uint32) for _, _, c in rows]).astype(np.uint64)
-        order = np.argsort(keys, kind="stable")
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        total = np.empty(len(keys), np.uint64)
-        total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        cut = np.cumsum([0, *sizes]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([_packed(total[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["block", "part", "totals"])
-
-    at, rows = None, []
+    """Rows (part, block, i, total), sorted by the first three, as one row (block, part, places, totals) for each part and block."""
+
+    def row(at: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        i, total = (np.concatenate([h[k] for h in held]) for k in range(2))
+        steps = np.diff(i, prepend=np.int32(0)).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int64()), pa.array([at[0]], pa.int32()), pa.array([_packed(steps)], pa.binary()), pa.array([_packed(total.astype(np.uint64))], pa.binary())], names=["block", "part", "places", "totals"])
+
+    at, held = None, []
     for batch in batches:
-        for part, *row in zip(*[batch.column(n).to_pylist() for n in ("part", "block", "keys", "counts")]):
-            if part != at and rows:
-                yield answer(at, rows)
-                rows = []
-            at = part
-            rows.append(tuple(row))
-    if rows:
-        yield answer(at, rows)
+        part, block, i, total = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "block", "i", "total"))
+        cuts = (np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(part)]):
+            if a == b:
+                continue
+            if (mine := (int(part[a]), int(block[a]))) != at:
+                if held:
+                    yield row(at, held)
+                at, held = mine, []
+            held.append((i[a:b].copy(), total[a:b].copy()))
+    if held:
+        yield row(at, held)
 
 
 def _scores(parts: int, corpus: int, alpha: float):
-    def own(doc: np.ndarray, gram: np.ndarray, grams: int) -> np.ndarray:
-        """How often each position's gram is in its document."""
-        _, at, n = np.unique(doc * max(1, grams) + gram, return_inverse=True, return_counts=True)
+    """Rows (block, row, doc_id, n_words, n_seen, units): of each document, the words that each order scored and their summed logarithms, and a row of order 0 that every document has."""
+
+    def own(doc: np.ndarray, which: np.ndarray, many: int) -> np.ndarray:
+        """How often each position's n-gram is in its document."""
+        _, at, n = np.unique(doc * max(1, many) + which, return_inverse=True, return_counts=True)
         return n[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, lengths, words, sequence, answers in zip(*[batch.column(n).to_pylist() for n in ("docs", "lengths", "words", "sequence", "answers")]):
-                g = _Grams(lengths, words, sequence, parts)
-                totals = np.empty(len(g.order), np.int64)
-                place = {p: (a, b) for p, a, b in zip(g.parts.tolist(), g.starts.tolist(), g.ends.tolist())}
+            for block, docs, lengths, words, sequence, answers in zip(*[batch.column(n).to_pylist() for n in ("block", "docs", "lengths", "words", "sequence", "answers")]):
+                g = _Grams(lengths, words, sequence)
+                order, _, used, starts = g.dealt(parts)
+                begins = dict(zip(used.tolist(), starts.tolist()))
+                totals = np.concatenate(g.counts)
                 for x in answers or []:
-                    a, b = place[x["part"]]
-                    totals[g.order[a:b]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
-                left = totals[g.sequence] - own(g.doc, g.sequence, g.words)
-                rest = np.maximum(corpus - g.lengths, 1)[g.doc]
-                score = np.log(np.maximum(left, 0.5) / rest)
-                both = totals[g.words :][g.pair] - own(g.doc[g.pairs], g.pair, len(totals) - g.words)
-                seen = both > 0
-                second = g.pairs + 1
-                score[second] = np.where(seen, np.log(np.maximum(both, 1) / np.maximum(left[g.pairs], 1)), np.log(alpha) + score[second])
+                    place = begins[x["part"]] + np.cumsum(_unpacked(x["places"], np.uint32).astype(np.int64))
+                    totals[order[place]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
+                ends = np.cumsum([0, *(len(c) for c in g.counts)]).tolist()
+                # Counts of other documents, by the n-gram's first word; 0 where none begins.
+                left = []
+                for k in range(ORDER):
+                    found = np.zeros(len(g.doc), np.int64)
+                    found[g.at[k]] = totals[ends[k] : ends[k + 1]][g.which[k]] - own(g.doc[g.at[k]], g.which[k], len(g.counts[k]))
+                    left.append(found)
                 n = len(g.lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(g.lengths), pa.array(np.bincount(g.doc[second], weights=seen, minlength=n).astype(np.int64)), pa.array(np.bincount(g.doc, weights=score, minlength=n))], names=["doc_id", "n_words", "n_seen", "score"])
+                before = np.arange(len(g.doc)) - np.repeat(np.cumsum(g.lengths) - g.lengths, g.lengths)
+                scored = np.zeros(len(g.doc), np.int64)
+                value = np.maximum(left[0], 0.5) / np.maximum(corpus - g.lengths, 1)[g.doc]
+                for k in range(1, ORDER):
+                    # n-grams of k + 1 words, by their last word.
+                    has = np.flatnonzero(before >= k)
+                    top, low = left[k][has - k], left[k - 1][has - k]
+                    seen = top > 0
+                    value[has] = np.where(seen, top / np.maximum(low, 1), alpha * value[has])
+                    scored[has[seen]] = k
+                units = np.floor(np.log(value) * UNIT + 0.5).astype(np.int64)
+                # A row for each document and order that scored some of it, and one that says how many words it has.
+                slot = g.doc * ORDER + scored
+                many = np.bincount(slot, minlength=n * ORDER)
+                sums = np.zeros(n * ORDER, np.int64)
+                np.add.at(sums, slot, units)
+                some = np.flatnonzero((many > 0) | (np.arange(n * ORDER) % ORDER == 0))
+                doc, k = some // ORDER, some % ORDER
+                ids = pa.array(docs, pa.int64()).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(doc), ids, pa.array(many[some]), pa.array(np.where(k > 0, many[some], 0)), pa.array(sums[some])], names=["block", "row", "doc_id", "n_words", "n_seen", "units"])
 
     return run
 
@@ -183,19 +245,31 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, n_seen, score, mean_score) of every row of ``docs``.
 
     ``score`` is the sum of log S over a document's words, ``n_seen`` how many
-    of its bigrams other rows have, ``mean_score`` the score by word. A text
-    without words, or null, has score 0 and no mean. Rows that share a doc_id
-    are scored on their own; copies count for each other. An empty table gives
-    no rows; other columns are ignored.
+    of them end a bigram or trigram that other rows have, ``mean_score`` the
+    score by word. A text without words, or null, has score 0 and no mean. Rows
+    that share a doc_id, null too, are scored on their own; copies count for
+    each other. An empty table gives no rows; other columns are ignored. The
+    session's _COLOCATED is set to false.
     """
-    lean(docs.sparkSession)
+    spark = docs.sparkSession
+    lean(spark)
+    spark.conf.set(_COLOCATED, "false")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    corpus = slim.select(F.sum(count_words(F.col("text"))).alias("n")).first().n or 0
+    corpus = slim.select("text").mapInArrow(trimmed(_counted), "n long").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-corpus // PART_WORDS))
     blocks = slim.mapInArrow(trimmed(_blocks), "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
-    requests = blocks.mapInArrow(trimmed(_requests(parts)), "part int, block long, keys binary, counts binary")
-    answers = requests.repartition("part").sortWithinPartitions("part", "block").mapInArrow(trimmed(_answers), "block long, part int, totals binary")
+    requests = blocks.mapInArrow(trimmed(_requests(parts)), "part int, block long, his array<int>, los array<short>, ns array<int>")
+    dealt = requests.repartition(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
+    key = F.shiftleft(F.col("hi").cast("long"), 16).bitwiseOR(F.get("los", F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFF)))
+    grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
+    counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("part", "key", "total")
+    # Most n-grams are in one block only, so what is left of the count table is the smaller side.
+    found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n").select("part", "block", "i", "total")
+    answers = found.sortWithinPartitions("part", "block", "i").mapInArrow(trimmed(_answers), "block long, part int, places binary, totals binary")
     # A block's answers are as many as its n-grams, so a group is as large as a block.
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("docs", "lengths", "words", "sequence", "answers").mapInArrow(trimmed(_scores(parts, corpus, alpha)), "doc_id long, n_words long, n_seen long, score double")
-    return scored.withColumn("mean_score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "places", "totals")).alias("answers"))
+    scored = blocks.join(answers, "block", "left").select("block", "docs", "lengths", "words", "sequence", "answers")
+    scored = scored.mapInArrow(trimmed(_scores(parts, corpus, alpha)), "block long, row long, doc_id long, n_words long, n_seen long, units long")
+    summed = scored.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_seen", "units")])
+    total = F.col("units") / float(UNIT)
+    return summed.select("doc_id", "n_words", "n_seen", total.alias("score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_score"))

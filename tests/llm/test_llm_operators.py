@@ -289,31 +289,42 @@ def test_near_duplicates_equal_brute_force(spark, docs, none, monkeypatch, k, bl
 # 5 Language-model scores
 
 
-def test_scores_equal_plain_backoff(spark, docs, none, monkeypatch):
-    rows = docs.collect()
-    want = {r.doc_id: split(r.text) for r in rows}
+@pytest.mark.parametrize("words", [1_500_000, 700])
+def test_scores_equal_plain_backoff(spark, docs, none, monkeypatch, words):
+    # Few words for a hash partition give many partitions; a block of few words cuts the corpus into many.
+    monkeypatch.setattr(lm, "PART_WORDS", words)
+    monkeypatch.setattr(lm, "BLOCK_WORDS", words)
+    copy = documents()[5]
+    d = docs.unionByName(spark.createDataFrame([copy, (None, "no id, but words of its own", "s", None), (None, copy[1], "s", None)], DOCS))
+    rows = [(r.doc_id, split(r.text)) for r in d.collect()]
+
+    def grams(w):
+        return Counter(tuple(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+
     c = Counter()
-    for w in want.values():
-        c.update(w)
-        c.update(zip(w, w[1:]))
-    n = sum(map(len, want.values()))
-    got = {r.doc_id: r for r in lm.score(docs.withColumn("score", F.lit("x"))).collect()}
-    assert len(got) == len(rows)
-    for i, w in want.items():
-        own = Counter(w)
-        own.update(zip(w, w[1:]))
+    for _, w in rows:
+        c.update(grams(w))
+    n = sum(len(w) for _, w in rows)
+    want = Counter()
+    for i, w in rows:
+        own = grams(w)
+        left = lambda *g: c[g] - own[g]  # noqa: E731, B023
         total = seen = 0
         for k, x in enumerate(w):
-            s = math.log(max(c[x] - own[x], 0.5) / max(1, n - len(w)))
-            if k:
-                b = (w[k - 1], x)
-                if c[b] > own[b]:
-                    seen, s = seen + 1, math.log((c[b] - own[b]) / (c[w[k - 1]] - own[w[k - 1]]))
-                else:
-                    s += math.log(lm.ALPHA)
-            total += s
-        assert (got[i].n_words, got[i].n_seen) == (len(w), seen)
-        assert got[i].score == pytest.approx(total, rel=1e-9, abs=1e-9) and (got[i].mean_score is None) == (not w)
+            s = max(left(x), 0.5) / max(1, n - len(w))
+            hit = False
+            for j in (1, 2):
+                if k >= j:
+                    h = w[k - j : k]
+                    if left(*h, x) > 0:
+                        s, hit = left(*h, x) / left(*h), True
+                    else:
+                        s *= lm.ALPHA
+            seen += hit
+            total += math.floor(math.log(s) * lm.UNIT + 0.5)
+        want[(i, len(w), seen, total / lm.UNIT, total / lm.UNIT / len(w) if w else None)] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_seen, r.score, r.mean_score) for r in lm.score(d.withColumn("score", F.lit("x"))).collect())
+    assert got == want
     assert lm.score(none).count() == 0
 
 
