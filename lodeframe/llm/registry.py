@@ -74,13 +74,52 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op5_lm_scoring": OP5_SQL, "op10_mixing": OP10_SQL}
 
 
-#: Words are counted as starts of runs, targets as in mixing.targets, draws as in mixing.uniform.
+#: Words and their counts by document, in all, and so in all others; then each word's score from its longest history that others have.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), total AS (
+  SELECT CAST(sum(len(ws)) AS BIGINT) AS n FROM d
+), t AS (
+  SELECT r, len(ws) AS size, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+), o1 AS (
+  SELECT r, w, count(*) AS n FROM t GROUP BY ALL
+), o2 AS (
+  SELECT r, v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL
+), o3 AS (
+  SELECT r, u, v, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL
+), f1 AS (
+  SELECT r, w, CAST(sum(n) OVER (PARTITION BY w) AS BIGINT) - n AS n FROM o1
+), f2 AS (
+  SELECT r, v, w, CAST(sum(n) OVER (PARTITION BY v, w) AS BIGINT) - n AS n FROM o2
+), f3 AS (
+  SELECT r, u, v, w, CAST(sum(n) OVER (PARTITION BY u, v, w) AS BIGINT) - n AS n FROM o3
+), s1 AS (
+  SELECT t.r, t.u, t.v, t.w, greatest(w1.n, 0.5::DOUBLE) / greatest(total.n - t.size, 1) AS s, v1.n AS nv, vw.n AS nvw, uv.n AS nuv, uvw.n AS nuvw
+  FROM t CROSS JOIN total JOIN f1 w1 ON w1.r = t.r AND w1.w = t.w LEFT JOIN f1 v1 ON v1.r = t.r AND v1.w = t.v
+  LEFT JOIN f2 vw ON vw.r = t.r AND vw.v = t.v AND vw.w = t.w LEFT JOIN f2 uv ON uv.r = t.r AND uv.v = t.u AND uv.w = t.v
+  LEFT JOIN f3 uvw ON uvw.r = t.r AND uvw.u = t.u AND uvw.v = t.v AND uvw.w = t.w
+), s2 AS (
+  SELECT *, CASE WHEN v IS NULL THEN s WHEN nvw > 0 THEN nvw::DOUBLE / nv ELSE 0.4::DOUBLE * s END AS s2 FROM s1
+), s3 AS (
+  SELECT r, CASE WHEN u IS NULL THEN s2 WHEN nuvw > 0 THEN nuvw::DOUBLE / nuv ELSE 0.4::DOUBLE * s2 END AS s, CASE WHEN nvw > 0 OR nuvw > 0 THEN 1 ELSE 0 END AS seen FROM s2
+), x AS (
+  SELECT r, count(*) AS n_words, CAST(sum(seen) AS BIGINT) AS n_seen, CAST(sum(CAST(floor(ln(s) * 1000000 + 0.5::DOUBLE) AS BIGINT)) AS BIGINT) AS units FROM s3 GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen, coalesce(units, 0) / 1000000::DOUBLE AS score,
+  CASE WHEN n_words > 0 THEN units / 1000000::DOUBLE / n_words END AS mean_score
+FROM d LEFT JOIN x ON d.r = x.r
+"""
+
+#: Targets as in mixing.targets, inclusion as in mixing.inclusion, draws as in mixing.uniform.
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), s1 AS (
@@ -98,12 +137,23 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12::DOUBLE) ELSE 0 END AS whole FROM s4
 ), s6 AS (
   SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS part FROM s5
-), s AS (
-  SELECT *, least(greatest(CASE WHEN source_size > 0 THEN part / source_size ELSE 0 END, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p FROM s6
+), c0 AS (
+  SELECT source, length(bin(size)) AS weight, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL
+), c1 AS (
+  SELECT c0.source, weight, source_size, target, whole, part,
+    coalesce(CAST(sum(words) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS certain,
+    CAST(sum(weight * words) OVER (PARTITION BY c0.source ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS opened
+  FROM c0 JOIN s6 ON c0.source IS NOT DISTINCT FROM s6.source
+), c2 AS (
+  SELECT *, CASE WHEN opened > 0 THEN (part - certain) / opened END AS level FROM c1
+), c3 AS (
+  SELECT *, max(CASE WHEN level * weight <= 1 THEN level END) OVER (PARTITION BY source) AS t FROM c2
+), c AS (
+  SELECT *, least(greatest(coalesce(least(1.0::DOUBLE, t * weight), 1.0::DOUBLE), 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p FROM c3
 ), u AS (
-  SELECT d.doc_id, d.source, d.size, s.source_size, s.target, s.whole, s.part, s.p,
-    (CAST(('0x' || substr(md5('7' || chr(31) || coalesce(CAST(d.doc_id AS VARCHAR), chr(0))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+  SELECT d.doc_id, d.source, d.size, c.source_size, c.target, c.whole, c.part, c.p,
+    (CAST(('0x' || substr(md5('7' || chr(31) || coalesce(CAST(d.doc_id AS VARCHAR), chr(0)) || chr(31) || digest), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND length(bin(d.size)) = c.weight
 ), q AS (
   SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q0 FROM u
 ), r AS (

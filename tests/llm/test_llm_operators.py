@@ -601,11 +601,35 @@ def test_mix_reaches_its_targets(spark, docs, none):
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0), (0.0, 0)]
 
 
-def test_pareto_order_follows_inclusion_odds(spark):
-    d = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("one").alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, 3.0).otherwise(1.0).alias("w"))
+def test_pareto_sampling_keeps_size_and_inclusion(spark):
+    d = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("one").alias("text"), F.lit("a").alias("source"), F.when(F.col("id") % 2 == 0, 4.0).otherwise(1.0).alias("w"))
     got = mixing.mix(d, budget=0.3, weight_column="w").groupBy((F.col("doc_id") % 2).alias("m")).agg(F.sum("taken").alias("n")).collect()
     n = {r.m: r.n for r in got}
-    assert n[0] + n[1] == 6000
-    # Of two documents, odds of 3 to 1 give roughly that ratio of odds of inclusion.
-    odds = (n[0] / (10000 - n[0])) / (n[1] / (10000 - n[1]))
-    assert 2.5 < odds < 3.6
+    # Inclusion 0.48 and 0.12, and a fixed size.
+    assert n[0] + n[1] == 6000 and abs(n[0] - 4800) < 150
+    most = mixing.mix(d, budget=0.55, weight_column="w").groupBy((F.col("doc_id") % 2).alias("m")).agg(F.sum("taken").alias("n")).collect()
+    n = {r.m: r.n for r in most}
+    # The level would give the heavy ones 0.88 and the light ones 0.22.
+    assert n[0] + n[1] == 11000 and abs(n[0] - 8800) < 150
+    # By default long texts are likelier.
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("w "), 200)).otherwise("w").alias("text"), F.lit("a").alias("source"))
+    got = mixing.mix(d, budget=0.5).groupBy((F.col("doc_id") % 2).alias("m")).agg(F.sum("copies").alias("n")).collect()
+    n = {r.m: r.n for r in got}
+    assert 900 < n[0] < 1100 and 60 < n[1] < 200
+
+
+def test_mix_draws_rows_without_an_id_of_their_own(spark):
+    """Rows that share or lack an id are drawn on their own, equal ones too; a third of the rows are equal."""
+    words = "one two three four five six seven eight nine"
+    rows = [(None, words, "a", None) for _ in range(900)] + [(7, words, "b", None) for _ in range(300)] + [(None, f"{words} {i}", "a", None) for i in range(600)] + [(i % 3, f"{words} {i}", "b", None) for i in range(900)] + [(None, None, "a", None), (None, "", "c", None)]
+    d = spark.createDataFrame(rows, DOCS).repartition(4)
+    for budget in (0.31, 0.7, 1.5):
+        got = mixing.mix(d, budget=budget).collect()
+        assert len(got) == len(rows)
+        for s in ("a", "b"):
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= 5 and max(r.copies for r in mine) <= 2
+        again = Counter((r.doc_id, r.text, r.taken) for r in mixing.mix(d.repartition(3), budget=budget).collect())
+        assert again == Counter((r.doc_id, r.text, r.taken) for r in got)
+    alike = mixing.mix(spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(words).alias("text"), F.lit("a").alias("source")), budget=0.25).collect()
+    assert sum(r.copies for r in alike) == 250
