@@ -49,7 +49,7 @@ ORDER = 3
 #: Words of a block, but for a longer document.
 BLOCK_WORDS = 1_500_000
 #: Words of the corpus for each hash partition, which bounds the n-grams that a task counts.
-PART_WORDS = 1_500_000
+PART_WORDS = 500_000
 #: Bits by which n-grams of one partition are told apart.
 KEY_BITS = 48
 #: Parts of a unit in which logarithms are summed.
@@ -259,7 +259,7 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     parts = max(1, -(-corpus // PART_WORDS))
     blocks = slim.mapInArrow(trimmed(_blocks), "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
     requests = blocks.mapInArrow(trimmed(_requests(parts)), "part int, block long, his array<int>, los array<short>, ns array<int>")
-    dealt = requests.repartition(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
+    dealt = requests.repartitionById(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
     key = F.shiftleft(F.col("hi").cast("long"), 16).bitwiseOR(F.get("los", F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFF)))
     grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
     counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("part", "key", "total")

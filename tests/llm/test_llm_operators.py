@@ -206,33 +206,60 @@ def test_word_ids_equal_the_tokenizer(monkeypatch, remember):
 # 3 Nearest neighbours
 
 
-def test_nearest_with_copies_and_bad_rows(spark):
+@pytest.mark.parametrize("deep", [4000, 60])
+def test_nearest_with_copies_and_bad_rows(spark, monkeypatch, deep):
     rng = np.random.default_rng(6)
     centres = rng.normal(0, 1, (6, 16))
     x = centres[rng.integers(0, 6, 700)] + rng.normal(0, 0.4, (700, 16))
     x[300:340] = x[300]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] + [1.0] * 15), (1300, [float("inf")] * 16), (1400, [1.0] * 3), (1500, [None] + [1.0] * 15), (None, [1.0] * 16)]
-    d = spark.createDataFrame(rows + bad + [rows[5]], "vec_id long, embedding array<double>")
+    d = spark.createDataFrame(rows + bad + [rows[5]], "vec_id long, embedding array<double>").withColumn("part", F.lit("clash")).withColumn("key", F.lit(0))
+    if deep == 60:
+        # Parts of some two hundred vectors are parted again, and the copies of a query vector shared out.
+        monkeypatch.setattr(ann, "COPIES", 7)
+    some = dict(leaf=20, most=4, deep=deep, recall=0.99) if deep == 60 else {}
     got = {}
-    for r in ann.search(d, d.where("vec_id % 100 = 0"), 10).collect():
+    for r in ann.search(d, d.where("vec_id % 100 = 0 or vec_id between 300 and 339"), 10, **some).collect():
         got.setdefault(r.query_id, []).append(r)
-    assert sorted(got) == list(range(0, 700, 100))
+    assert sorted(got) == sorted({*range(0, 700, 100), *range(300, 340)})
     hits = 0
     for q, rs in got.items():
         rs.sort(key=lambda r: r.rank)
         dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         dist[q] = np.inf
         best = np.lexsort((np.arange(700), dist))[:10]
-        hits += len(set(best.tolist()) & {r.vec_id for r in rs})
+        hits += len(set(best.tolist()) & {r.vec_id for r in rs}) if q % 100 == 0 else 0
         assert [r.rank for r in rs] == list(range(1, 11)) and all(abs(r.score - dist[r.vec_id]) < 1e-12 for r in rs)
-    assert [r.vec_id for r in got[300]] == list(range(301, 311))
+        if 300 <= q < 340:
+            assert [r.vec_id for r in rs] == best.tolist()
     assert hits >= 0.9 * 70
     assert ann.search(d.limit(0), d.limit(0)).count() == 0
     three = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert ann.search(three, three.where("vec_id = 0")).count() == 2
 
 
+def test_routing_asks_few_parts_of_clustered_vectors(spark):
+    rng = np.random.default_rng(16)
+    centres = rng.normal(0, 1, (60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(0, 0.35, (6000, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked, distinct = ann._inputs(d, d.where("vec_id % 100 = 0"), 10)
+    work = ann._work(asked, distinct, ann.SAMPLE, ann.RECALL, ann.LEAF, ann.MOST_PARTS, ann.DEEP)
+    sizes = {r.part: r["count"] for r in work.where("not query").groupBy("part").count().collect()}
+    assert sum(sizes.values()) == 6000
+    read = sum(sizes.get(p, 0) for r in work.where("query").select("parts").collect() for p in r.parts)
+    got = {}
+    for r in ann.search(d, d.where("vec_id % 100 = 0"), 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 100):
+        dist = ((x - x[q]) ** 2).sum(axis=1)
+        dist[q] = np.inf
+        hits += len(got[q] & set(np.argsort(dist)[:10].tolist()))
+    assert hits >= 0.9 * 600 and read <= 0.2 * 60 * 6000
+
+
 def test_parts_are_balanced():
     x = np.random.default_rng(7).normal(0, 1, (600, 8))
     sizes = np.bincount(ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6), minlength=6)
