@@ -1,16 +1,18 @@
 """Stupid-backoff scores from the whole corpus's counts, computed relationally.
 
 1. Documents are read in blocks of about BLOCK_WORDS words. A block's distinct
-   n-grams of orders 1 to ORDER, each with its count in the block, go to their
-   hash partitions: that is partial aggregation, and it parts a hot n-gram by
-   blocks, so the commonest is one row a block. On their way the sorted hashes
-   of one block and partition travel as one compressed row (``_requests``),
-   which is exploded on arrival: ``grams`` has a row for each (block, n-gram).
+   words and bigrams, each with its count in the block, go to their hash
+   partitions: that is partial aggregation, and it parts a hot n-gram by
+   blocks, so the commonest is one row a block. On their way the n-grams of one
+   block and partition travel as arrays of one row, which is exploded on
+   arrival: ``grams`` has a row for each (block, n-gram).
 2. ``counts`` is the count table, partitioned by hash: n-grams with their count
    in the corpus, of which those in one block only say nothing new.
 3. ``grams`` is joined with ``counts`` by n-gram, inside the hash partitions,
    and what is found goes back to its block.
-4. A block's documents are scored word by word, and the scores, a row for each
+4. The same again for trigrams, of which only those are asked for whose two
+   bigrams other documents have: no other can be in another document.
+5. A block's documents are scored word by word, and the scores, a row for each
    document and order, are summed by document.
 
 A document is scored by the counts of all other rows: its own n-grams are taken
@@ -47,7 +49,7 @@ from lodeframe.llm.common import SPACE, U64, lean, mix, slices, trimmed, utf8, w
 ALPHA = 0.4
 ORDER = 3
 #: Words of a block, but for a longer document.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 #: Words of the corpus for each hash partition, which bounds the n-grams that a task counts.
 PART_WORDS = 500_000
 #: Bits by which n-grams of one partition are told apart.
@@ -120,45 +122,87 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _same(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the distinct numbers each one is, these numbers, and how often they come."""
+    import pandas as pd
+
+    which, distinct = pd.factorize(x)
+    return which, distinct, np.bincount(which, minlength=len(distinct))
+
+
 class _Grams:
-    """A block's distinct n-grams of each order in turn: where they are in the block, how often, and their keys."""
+    """A block's distinct n-grams of each order in turn, numbered through: where they begin in the block, how often they come, and their hashes."""
 
-    def __init__(self, lengths: bytes, words: bytes, sequence: bytes):
+    def __init__(self, lengths: bytes, words: bytes, sequence: bytes, orders: int = ORDER):
         self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-        self.words = np.frombuffer(words, np.uint64)
+        words = np.frombuffer(words, np.uint64)
         sequence = _unpacked(sequence, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        #: For each order: first words of its n-grams, which one of the distinct ones each is, counts of these, and their hashes.
-        self.at, self.which, self.counts, self.hashes = [np.arange(len(sequence))], [sequence], [np.bincount(sequence, minlength=len(self.words))], [self.words * _MULT[0]]
-        many = max(1, len(self.words))
-        for k in range(1, ORDER):
+        #: For each order: first words of its n-grams, which of the distinct ones each is, their counts and hashes.
+        self.at, self.which, self.counts, self.hashes = [np.arange(len(sequence))], [sequence], [np.bincount(sequence, minlength=len(words))], [words * _MULT[0]]
+        many = max(1, len(words))
+        for k in range(1, orders):
             inside = self.doc[self.at[-1]] == np.append(self.doc, np.full(k, -1))[self.at[-1] + k]
             at = self.at[-1][inside]
-            codes, which, n = np.unique(self.which[-1][inside] * many + sequence[at + k], return_inverse=True, return_counts=True)
-            self.hashes.append(self.hashes[-1][codes // many] + self.words[codes % many] * _MULT[k] + U64(k))
+            which, codes, n = _same(self.which[-1][inside] * many + sequence[at + k])
+            self.hashes.append(self.hashes[-1][codes // many] + words[codes % many] * _MULT[k] + U64(k))
             self.at.append(at)
             self.which.append(which)
             self.counts.append(n)
-
-    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order, keys, partitions, starts): the n-grams of all orders by hash partition, their keys, and where each partition's begin."""
-        h = mix(np.concatenate(self.hashes))
+        self.ends = np.cumsum([0, *map(len, self.counts)]).tolist()
+        #: What is known of each n-gram's count in the corpus: at first, its count here.
+        self.totals = np.concatenate(self.counts)
+
+    def wanted(self, order: int) -> np.ndarray:
+        """Numbers of the n-grams that are asked for: all words and bigrams first; then, these being known, trigrams whose bigrams other documents have."""
+        if order == 1:
+            return np.arange(self.ends[2])
+        after = self.left(1) > 0
+        at = self.at[2]
+        both = np.zeros(len(self.counts[2]), bool)
+        both[self.which[2][after[at] & after[at + 1]]] = True
+        return self.ends[2] + np.flatnonzero(both)
+
+    def dealt(self, numbers: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, keys, partitions, starts): these n-grams by hash partition, their keys, and where each partition's begin."""
+        h = mix(np.concatenate(self.hashes)[numbers])
         part = (h % U64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         used, starts = np.unique(part[order], return_index=True)
-        return order, (h // U64(parts))[order] & U64((1 << KEY_BITS) - 1), used, starts
-
-
-def _requests(parts: int):
-    """Rows (part, block, his, los, ns) of each block's n-grams: the upper 32 and lower 16 bits of their keys, and their counts."""
+        return numbers[order], (h // U64(parts))[order] & U64((1 << KEY_BITS) - 1), used, starts
+
+    def learn(self, numbers: np.ndarray, parts: int, answers: list) -> None:
+        """Takes in what came back for the n-grams asked for."""
+        if not answers:
+            return
+        numbers, _, used, starts = self.dealt(numbers, parts)
+        begins = dict(zip(used.tolist(), starts.tolist()))
+        for x in answers:
+            place = begins[x["part"]] + np.cumsum(_unpacked(x["places"], np.uint32).astype(np.int64))
+            self.totals[numbers[place]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
+
+    def left(self, k: int) -> np.ndarray:
+        """Counts in other documents of the n-grams of k + 1 words, by first word; 0 where none begins."""
+        at, which = self.at[k], self.which[k]
+        mine, _, n = _same(self.doc[at] * max(1, len(self.counts[k])) + which)
+        out = np.zeros(len(self.doc), np.int64)
+        out[at] = self.totals[self.ends[k] : self.ends[k + 1]][which] - n[mine]
+        return out
+
+
+def _requests(parts: int, order: int):
+    """Rows (part, block, his, los, ns) of a block's n-grams: the upper 32 and lower 16 bits of their keys, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lengths, words, sequence in zip(*[batch.column(n).to_pylist() for n in ("block", "lengths", "words", "sequence")]):
-                g = _Grams(lengths, words, sequence)
-                order, keys, used, starts = g.dealt(parts)
+            names = ["block", "lengths", "words", "sequence", *(["answers1"] if order > 1 else [])]
+            for block, lengths, words, sequence, *answers in zip(*[batch.column(n).to_pylist() for n in names]):
+                g = _Grams(lengths, words, sequence, max(2, order + 1))
+                if order > 1:
+                    g.learn(g.wanted(1), parts, answers[0])
+                numbers, keys, used, starts = g.dealt(g.wanted(order), parts)
                 ends = np.append(starts, len(keys))
-                lists = [(keys >> U64(16)).astype(np.uint32).view(np.int32), (keys & U64(0xFFFF)).astype(np.uint16).view(np.int16), np.concatenate(g.counts).astype(np.int32)[order]]
+                lists = [(keys >> U64(16)).astype(np.uint32).view(np.int32), (keys & U64(0xFFFF)).astype(np.uint16).view(np.int16), np.concatenate(g.counts).astype(np.int32)[numbers]]
                 for a in range(0, len(used), 64):
                     b = min(len(used), a + 64)
                     cut = slice(ends[a], ends[b])
@@ -168,10 +212,13 @@ def _requests(parts: int):
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, block, i, total), sorted by the first three, as one row (block, part, places, totals) for each part and block."""
+    """Rows (part, block, i, total), those of a part and block in a row, as rows (block, part, places, totals)."""
 
     def row(at: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         i, total = (np.concatenate([h[k] for h in held]) for k in range(2))
+        if (i[1:] < i[:-1]).any():
+            order = np.argsort(i)
+            i, total = i[order], total[order]
         steps = np.diff(i, prepend=np.int32(0)).astype(np.uint32)
         return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int64()), pa.array([at[0]], pa.int32()), pa.array([_packed(steps)], pa.binary()), pa.array([_packed(total.astype(np.uint64))], pa.binary())], names=["block", "part", "places", "totals"])
 
@@ -194,28 +241,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scores(parts: int, corpus: int, alpha: float):
     """Rows (block, row, doc_id, n_words, n_seen, units): of each document, the words that each order scored and their summed logarithms, and a row of order 0 that every document has."""
 
-    def own(doc: np.ndarray, which: np.ndarray, many: int) -> np.ndarray:
-        """How often each position's n-gram is in its document."""
-        _, at, n = np.unique(doc * max(1, many) + which, return_inverse=True, return_counts=True)
-        return n[at]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, docs, lengths, words, sequence, answers in zip(*[batch.column(n).to_pylist() for n in ("block", "docs", "lengths", "words", "sequence", "answers")]):
+            for block, docs, lengths, words, sequence, *answers in zip(*[batch.column(n).to_pylist() for n in ("block", "docs", "lengths", "words", "sequence", "answers1", "answers2")]):
                 g = _Grams(lengths, words, sequence)
-                order, _, used, starts = g.dealt(parts)
-                begins = dict(zip(used.tolist(), starts.tolist()))
-                totals = np.concatenate(g.counts)
-                for x in answers or []:
-                    place = begins[x["part"]] + np.cumsum(_unpacked(x["places"], np.uint32).astype(np.int64))
-                    totals[order[place]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
-                ends = np.cumsum([0, *(len(c) for c in g.counts)]).tolist()
-                # Counts of other documents, by the n-gram's first word; 0 where none begins.
-                left = []
-                for k in range(ORDER):
-                    found = np.zeros(len(g.doc), np.int64)
-                    found[g.at[k]] = totals[ends[k] : ends[k + 1]][g.which[k]] - own(g.doc[g.at[k]], g.which[k], len(g.counts[k]))
-                    left.append(found)
+                for order, got in enumerate(answers, 1):
+                    g.learn(g.wanted(order), parts, got)
+                left = [g.left(k) for k in range(ORDER)]
                 n = len(g.lengths)
                 before = np.arange(len(g.doc)) - np.repeat(np.cumsum(g.lengths) - g.lengths, g.lengths)
                 scored = np.zeros(len(g.doc), np.int64)
@@ -241,6 +273,22 @@ def _scores(parts: int, corpus: int, alpha: float):
     return run
 
 
+_REQUEST = "part int, block long, his array<int>, los array<short>, ns array<int>"
+
+
+def _found(requests: DataFrame, parts: int) -> DataFrame:
+    """(block, answers) of the n-grams in ``requests`` that other blocks have too: their counts in the corpus."""
+    dealt = requests.repartitionById(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
+    key = F.shiftleft(F.col("hi").cast("long"), 16).bitwiseOR(F.get("los", F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFF)))
+    grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
+    counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("part", "key", "total")
+    # Most n-grams are in one block only, so what is left of the count table is the smaller side.
+    found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n").select("part", "block", "i", "total")
+    answers = found.mapInArrow(trimmed(_answers), "block long, part int, places binary, totals binary")
+    # A block's answers are as many as its n-grams, so a group is as large as a block.
+    return answers.groupBy("block").agg(F.collect_list(F.struct("part", "places", "totals")).alias("answers"))
+
+
 def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, n_seen, score, mean_score) of every row of ``docs``.
 
@@ -258,17 +306,10 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     corpus = slim.select("text").mapInArrow(trimmed(_counted), "n long").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-corpus // PART_WORDS))
     blocks = slim.mapInArrow(trimmed(_blocks), "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
-    requests = blocks.mapInArrow(trimmed(_requests(parts)), "part int, block long, his array<int>, los array<short>, ns array<int>")
-    dealt = requests.repartitionById(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
-    key = F.shiftleft(F.col("hi").cast("long"), 16).bitwiseOR(F.get("los", F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFF)))
-    grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
-    counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("part", "key", "total")
-    # Most n-grams are in one block only, so what is left of the count table is the smaller side.
-    found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n").select("part", "block", "i", "total")
-    answers = found.sortWithinPartitions("part", "block", "i").mapInArrow(trimmed(_answers), "block long, part int, places binary, totals binary")
-    # A block's answers are as many as its n-grams, so a group is as large as a block.
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("part", "places", "totals")).alias("answers"))
-    scored = blocks.join(answers, "block", "left").select("block", "docs", "lengths", "words", "sequence", "answers")
+    first = _found(blocks.mapInArrow(trimmed(_requests(parts, 1)), _REQUEST), parts).withColumnRenamed("answers", "answers1")
+    known = blocks.join(first, "block", "left")
+    second = _found(known.select("block", "lengths", "words", "sequence", "answers1").mapInArrow(trimmed(_requests(parts, 2)), _REQUEST), parts).withColumnRenamed("answers", "answers2")
+    scored = known.join(second, "block", "left").select("block", "docs", "lengths", "words", "sequence", "answers1", "answers2")
     scored = scored.mapInArrow(trimmed(_scores(parts, corpus, alpha)), "block long, row long, doc_id long, n_words long, n_seen long, units long")
     summed = scored.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_seen", "units")])
     total = F.col("units") / float(UNIT)
