@@ -67,10 +67,13 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder; spark.checkpoint.dir names it on a cluster, a temporary one serves where it is unset."""
+    """``df`` in the shared checkpoint folder: spark.checkpoint.dir, which a cluster must name; in local mode a temporary one serves where it is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lode-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lode-"))
     return df.checkpoint(eager=True)
 
 

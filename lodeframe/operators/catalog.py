@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeframe.functions.ordering import settled
+
 
 def reserve_faults(reserves: DataFrame, stride: int) -> DataFrame:
     """(kind, generation, rule) of reserves (kind, generation, prev_high, new_high) that don't extend the chain by one stride."""
@@ -43,16 +45,21 @@ def inventory(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def migration_path(steps: DataFrame, first: int, last: int, view: str = "migration_steps") -> DataFrame:
-    """(step, name, version_from, version_to) along the only edges from ``first`` on, to ``last``; empty if it isn't reached. At most one edge leaves a version, and the path's length is bounded by their number, so a cycle ends."""
-    steps.createOrReplaceTempView(view)
-    spark = steps.sparkSession
-    found = spark.sql(f"""
-        WITH RECURSIVE p(step, name, version_from, version_to) AS (
-          SELECT 1L, name, version_from, version_to FROM {view} WHERE version_from = {first}
-          UNION ALL
-          SELECT p.step + 1, s.name, s.version_from, s.version_to FROM p JOIN {view} s ON s.version_from = p.version_to
-          WHERE p.version_to <> {last} AND p.step < 90
-        ) SELECT * FROM p""")
-    reached = found.agg(F.max((F.col("version_to") == last).cast("int")))
-    return found.where(reached.scalar() == 1)
+def migration_path(steps: DataFrame, first: int, last: int) -> DataFrame:
+    """(step, name, version_from, version_to) along the only edges from ``first`` on, to ``last``; empty if it isn't reached. At most one edge leaves a version.
+
+    Versions reached are found by doubling: those at most n steps away, and
+    where n steps lead from each, give those at most 2n away. Rounds are the
+    logarithm of the number of edges, which bounds a path, so a cycle ends.
+    """
+    edges = settled(steps.where(F.col("version_from") != last))
+    reached = steps.sparkSession.range(1).select(F.lit(first).cast("long").alias("at"), F.lit(0).cast("long").alias("before"))
+    jump = edges.select(F.col("version_from").alias("at"), F.col("version_to").alias("to"))
+    span, count = 1, edges.count()
+    while span <= count:
+        ahead = reached.join(jump, "at").select(F.col("to").alias("at"), (F.col("before") + span).alias("before"))
+        reached = settled(reached.unionByName(ahead).groupBy("at").agg(F.min("before").alias("before")))
+        jump = settled(jump.join(jump.select(F.col("at").alias("to"), F.col("to").alias("then")), "to").select("at", F.col("then").alias("to")))
+        span *= 2
+    found = edges.join(reached, edges.version_from == reached["at"]).select((F.col("before") + 1).alias("step"), "name", "version_from", "version_to")
+    return found.where(reached.agg(F.max((F.col("at") == last).cast("int"))).scalar() == 1)

@@ -97,7 +97,7 @@ SQL: dict[str, str] = {
         SELECT record_id, op, commit_seq, CASE WHEN commit_seq > (SELECT cut FROM cuts) THEN 0 WHEN commit_seq > (SELECT own FROM cuts) THEN 1 ELSE 2 END AS layer FROM oc
       ), newest AS (SELECT record_id, layer, arg_max(op, commit_seq) AS op FROM layers GROUP BY 1, 2
       ), seen AS (SELECT record_id, min(layer) AS layer, arg_min(op, layer) AS op FROM newest WHERE layer < 2 OR op = 1 GROUP BY 1)
-      SELECT a.record_id, CAST(layer AS BIGINT) AS layer, op FROM (SELECT DISTINCT record_id FROM oc WHERE record_id % 3 = 0) a LEFT JOIN seen USING (record_id)""",
+      SELECT a.record_id, CAST(layer AS BIGINT) AS layer, op FROM (SELECT DISTINCT record_id FROM oc) a LEFT JOIN seen USING (record_id)""",
     "heads_asof_cut": OR + "SELECT record_id, commit_seq, value_bytes FROM root",
     "overlay_merge": OR + "SELECT record_id, commit_seq, value_bytes FROM h WHERE op = 1",
     "tombstones": EV + "SELECT record_id, commit_seq, batch_id FROM heads WHERE op = 2",
@@ -139,7 +139,7 @@ SQL: dict[str, str] = {
     "gc_resume": """SELECT o_orderkey, CASE
         WHEN p <= 3 AND g < 0 THEN 'give_up' WHEN p <= 3 AND (g > 0 OR p < 3) THEN 'corrupt' WHEN p = 3 AND alive THEN 'give_up' WHEN p = 3 AND listed THEN 'check_empty_and_retire' WHEN p = 3 THEN 'corrupt'
         WHEN g <> 0 THEN 'corrupt' WHEN p = 4 AND listed THEN 'check_empty_and_retire' WHEN p = 5 AND listed THEN 'remove_from_manifest' WHEN p = 5 THEN 'move_to_trash' WHEN p = 6 AND NOT listed THEN 'delete_from_trash' WHEN p = 7 THEN 'finish' ELSE 'corrupt' END AS action
-      FROM (SELECT o_orderkey, o_orderkey % 8 + 1 AS p, o_custkey % 3 - 1 AS g, o_orderkey % 3 = 0 AS listed, o_custkey % 2 = 0 AS alive FROM orders WHERE o_orderkey < 400)""",
+      FROM (SELECT o_orderkey, o_orderkey % 8 + 1 AS p, o_custkey % 3 - 1 AS g, o_orderkey % 3 = 0 AS listed, o_custkey % 2 = 0 AS alive FROM orders)""",
     "relocation_cas": OR + "SELECT record_id, commit_seq, applied FROM moved",
     "relocation_result": OR + "SELECT count(*) AS candidates, count(*) FILTER (applied) AS relocated, count(*) FILTER (NOT applied) AS skipped, CAST(coalesce(sum(value_bytes) FILTER (applied), 0) AS BIGINT) AS copied_value_bytes FROM moved",
     "relocation_chain": """WITH RECURSIVE st AS (
@@ -207,7 +207,7 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT n.w, n.ord, n.i, rest >= bytes + 512, CASE WHEN rest >= bytes + 512 THEN rest - bytes ELSE rest END FROM f JOIN n ON n.w = f.w AND n.i = f.i + 1
       ) SELECT w AS "window", ord, admitted, CAST(rest AS BIGINT) AS "left" FROM f""",
-    "migration_path": """WITH RECURSIVE s AS (SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS version_from, CAST(n_nationkey + CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 1 END AS BIGINT) AS version_to FROM nation WHERE n_nationkey < 22),
+    "migration_path": """WITH RECURSIVE s AS (SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS version_from, CAST(n_nationkey + CASE WHEN n_nationkey % 3 = 0 THEN 3 ELSE 1 END AS BIGINT) AS version_to FROM nation),
       p AS (SELECT CAST(1 AS BIGINT) AS step, * FROM s WHERE version_from = 0 UNION ALL SELECT p.step + 1, s.* FROM p JOIN s ON s.version_from = p.version_to WHERE p.version_to <> 21)
       SELECT * FROM p WHERE EXISTS (SELECT 1 FROM p WHERE version_to = 21)""",
     "manifest_chain": "SELECT CAST(11 AS BIGINT) AS generation, 'generation' AS rule",

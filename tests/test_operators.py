@@ -113,3 +113,18 @@ def test_groups_and_rotation_limits(spark):
 def test_metric_text():
     assert reports.label_text({"b": 'x"y', "a": "p\\q\nr"}) == '{a="p\\\\q\\nr",b="x\\"y"}' and reports.label_text({}) == ""
     assert len(reports.METRICS) == 32
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 120])
+def test_migration_path_of_any_length(spark, n):
+    edges = [(f"m{i}", i, i + 1) for i in range(n)]
+    steps = spark.createDataFrame(edges, "name string, version_from long, version_to long")
+    got = sorted(tuple(r) for r in catalog.migration_path(steps, 0, n).collect())
+    assert got == [(i + 1, *e) for i, e in enumerate(edges)]
+    assert catalog.migration_path(steps, 0, n + 1).count() == 0
+
+
+def test_migration_path_ends_in_a_cycle(spark):
+    steps = spark.createDataFrame([("a", 0, 1), ("b", 1, 2), ("c", 2, 0)], "name string, version_from long, version_to long")
+    assert catalog.migration_path(steps, 0, 9).count() == 0
+    assert [r.name for r in catalog.migration_path(steps, 0, 2).orderBy("step").collect()] == ["a", "b"]
