@@ -59,6 +59,8 @@ UNIT = 1_000_000
 _MULT = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F))
 #: Joins by (partition, n-gram) may run where the partition's rows are.
 _COLOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
+#: The first, small map of hash aggregates is of no use where nearly every key is new.
+_SMALL_MAP = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -281,8 +283,8 @@ def _found(requests: DataFrame, parts: int) -> DataFrame:
     dealt = requests.repartitionById(parts, "part").select("part", "block", "los", "ns", F.posexplode("his").alias("i", "hi"))
     key = F.shiftleft(F.col("hi").cast("long"), 16).bitwiseOR(F.get("los", F.col("i")).cast("long").bitwiseAND(F.lit(0xFFFF)))
     grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
-    counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("part", "key", "total")
-    # Most n-grams are in one block only, so what is left of the count table is the smaller side.
+    counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1").select("part", "key", "total")
+    # A block has one row for an n-gram, and counting ``block`` keeps the columns, so that both readers share one shuffle. Most n-grams are in one block only, so what is left of the count table is the smaller side.
     found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n").select("part", "block", "i", "total")
     answers = found.mapInArrow(trimmed(_answers), "block long, part int, places binary, totals binary")
     # A block's answers are as many as its n-grams, so a group is as large as a block.
@@ -297,19 +299,21 @@ def score(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     score by word. A text without words, or null, has score 0 and no mean. Rows
     that share a doc_id, null too, are scored on their own; copies count for
     each other. An empty table gives no rows; other columns are ignored. The
-    session's _COLOCATED is set to false.
+    session's _COLOCATED and _SMALL_MAP are set to false.
     """
     spark = docs.sparkSession
     lean(spark)
     spark.conf.set(_COLOCATED, "false")
+    spark.conf.set(_SMALL_MAP, "false")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     corpus = slim.select("text").mapInArrow(trimmed(_counted), "n long").agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-corpus // PART_WORDS))
     blocks = slim.mapInArrow(trimmed(_blocks), "block long, docs array<long>, lengths binary, words binary, sequence binary").repartition("block")
     first = _found(blocks.mapInArrow(trimmed(_requests(parts, 1)), _REQUEST), parts).withColumnRenamed("answers", "answers1")
     known = blocks.join(first, "block", "left")
-    second = _found(known.select("block", "lengths", "words", "sequence", "answers1").mapInArrow(trimmed(_requests(parts, 2)), _REQUEST), parts).withColumnRenamed("answers", "answers2")
-    scored = known.join(second, "block", "left").select("block", "docs", "lengths", "words", "sequence", "answers1", "answers2")
+    # All columns stay, so that the three readers of ``blocks`` share one shuffle.
+    second = _found(known.mapInArrow(trimmed(_requests(parts, 2)), _REQUEST), parts).withColumnRenamed("answers", "answers2")
+    scored = known.join(second, "block", "left")
     scored = scored.mapInArrow(trimmed(_scores(parts, corpus, alpha)), "block long, row long, doc_id long, n_words long, n_seen long, units long")
     summed = scored.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_seen", "units")])
     total = F.col("units") / float(UNIT)
