@@ -66,20 +66,25 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder: spark.checkpoint.dir, which a cluster must name; in local mode a temporary one serves where it is unset."""
-    sc = df.sparkSession.sparkContext
+def ready(spark: SparkSession) -> None:
+    """Makes ``checkpoint()`` usable, in spark.checkpoint.dir, which a cluster must name; in local mode a temporary folder serves where it is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lode-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder: lineage ends there, and later readers see one fixed result."""
+    ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A path in the shared checkpoint folder."""
-    settled(spark.range(0))
+    ready(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
