@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeframe.functions.ordering import ready, settled
+
 #: Bytes of text that numpy works on at once.
 CHUNK = 1 << 18
 #: Bytes of text handed out by ``slices``.
@@ -178,20 +179,7 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ready(spark: SparkSession) -> None:
-    """Makes ``checkpoint()`` usable: spark.checkpoint.dir is taken where it is set, as on a cluster; a temporary folder else, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lode-"))
-
-
 def lean(spark: SparkSession) -> None:
     """Holds the session's Arrow batches to BATCH_BYTES; their default of 64 MB is kept several times over, outside the JVM's heap and in Python."""
     if spark.conf.get(_BATCH) == "67108864b":
         spark.conf.set(_BATCH, BATCH_BYTES)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: lineage ends there, and later readers see one fixed result."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
