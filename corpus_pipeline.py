@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from lodeframe.llm import langid, mixing, neardup, packing
 from lodeframe.llm.common import ready, settled
 
-#: A document whose chief language has less than this share of its letters is rejected, as is one without letters.
-LEAST_SHARE = 0.5
 #: Words in a shingle, and the similarity in %, at which documents are near copies.
 SHINGLE, SIMILAR = 5, 80
 WEIGHTS, BUDGET, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -34,11 +32,11 @@ def _aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which one language has LEAST_SHARE of the letters, learned from the labelled ones; null texts and texts without letters go."""
+    """Documents for which a language is found, learned from the labelled ones, mixed ones included; null texts and texts without letters go."""
     columns = docs.columns
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
     work, taken = _aside(docs, ["lang_pred", "score", "lang_spans"])
-    known = langid.identify(work, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    known = langid.identify(work, model).where(F.col("lang_pred") != "und")
     return known.drop("lang_pred", "score", "lang_spans").withColumnsRenamed(taken).select(*columns)
 
 
