@@ -36,6 +36,7 @@ cost is linear in those.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,17 +64,20 @@ _COLOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 _SMALL_MAP = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Unsigned integers by byte planes, compressed."""
+@functools.cache
+def _zstd() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unpacked(b: bytes, kind: type) -> np.ndarray:
-    import zstandard
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes, compressed."""
+    return _zstd()[0].compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(_zstd()[1].decompress(b), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
@@ -94,6 +98,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, docs, lengths, words, sequence): a block's documents, their numbers of words, its distinct words' hashes, the commonest first, and all its words as indices of those."""
+    import pandas as pd
+
     base, number = TaskContext.get().partitionId() << 24, 0
     ids: list = []
     lengths: list[np.ndarray] = []
@@ -101,8 +107,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def block() -> pa.RecordBatch:
         nonlocal number
-        words, at, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")
+        at, words = pd.factorize(np.concatenate(hashes))
+        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         row = [base + number, ids.copy(), np.concatenate(lengths).astype("<u4").tobytes(), words[order].tobytes(), _packed(rank[at])]
@@ -124,12 +130,25 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def _same(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the distinct numbers each one is, these numbers, and how often they come."""
-    import pandas as pd
+def _order(x: np.ndarray, most: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of whole numbers from 0 up to ``most``, as their ascending ``places``, or else 0, 1, ..., and the numbers in it."""
+    places = np.arange(len(x)) if places is None else places
+    bits = int(places[-1]).bit_length() if len(x) else 0
+    if most.bit_length() + bits > 63:
+        order = np.argsort(x, kind="stable")
+        return places[order], x[order]
+    # Numbers that carry their places are sorted as they are, several times faster than places by numbers.
+    both = x.astype(np.int64) << bits
+    both |= places
+    both.sort()
+    return both & ((1 << bits) - 1), both >> bits
 
-    which, distinct = pd.factorize(x)
-    return which, distinct, np.bincount(which, minlength=len(distinct))
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a number differs from the one before; at the first too."""
+    out = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=out[1:])
+    return out
 
 
 class _Grams:
@@ -139,18 +158,30 @@ class _Grams:
         self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
         words = np.frombuffer(words, np.uint64)
         sequence = _unpacked(sequence, np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        #: For each order: first words of its n-grams, which of the distinct ones each is, their counts and hashes.
-        self.at, self.which, self.counts, self.hashes = [np.arange(len(sequence))], [sequence], [np.bincount(sequence, minlength=len(words))], [words * _MULT[0]]
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        #: For each order: first words of its n-grams, by n-gram and then by place; the first of each n-gram among them; and the n-grams' counts and hashes.
+        self.at, self.new, self.counts, hashes = [], [], [], []
         many = max(1, len(words))
-        for k in range(1, orders):
-            inside = self.doc[self.at[-1]] == np.append(self.doc, np.full(k, -1))[self.at[-1] + k]
-            at = self.at[-1][inside]
-            which, codes, n = _same(self.which[-1][inside] * many + sequence[at + k])
-            self.hashes.append(self.hashes[-1][codes // many] + words[codes % many] * _MULT[k] + U64(k))
+        #: Which n-gram of the order at hand begins at a word, where one does.
+        which = sequence
+        for k in range(orders):
+            if k == 0:
+                at, codes = _order(sequence, many)
+            else:
+                first = np.flatnonzero(self.doc[:-k] == self.doc[k:])
+                codes = which[: len(which) - k] * many + sequence[k:]
+                at, codes = _order(codes if len(first) == len(codes) else codes[first], len(self.counts[-1]) * many, first)
+            new = _changes(codes)
+            starts = np.flatnonzero(new)
+            codes = codes[starts]
+            hashes.append(hashes[-1][codes // many] + words[codes % many] * _MULT[k] + U64(k) if k else words * _MULT[0])
             self.at.append(at)
-            self.which.append(which)
-            self.counts.append(n)
+            self.new.append(new)
+            self.counts.append(np.diff(starts, append=len(at)))
+            if 0 < k < orders - 1:
+                which = np.zeros(len(sequence), np.int64)
+                which[at] = np.cumsum(new) - 1
+        self.hashes = np.concatenate(hashes)
         self.ends = np.cumsum([0, *map(len, self.counts)]).tolist()
         #: What is known of each n-gram's count in the corpus: at first, its count here.
         self.totals = np.concatenate(self.counts)
@@ -160,18 +191,18 @@ class _Grams:
         if order == 1:
             return np.arange(self.ends[2])
         after = self.left(1) > 0
-        at = self.at[2]
-        both = np.zeros(len(self.counts[2]), bool)
-        both[self.which[2][after[at] & after[at + 1]]] = True
-        return self.ends[2] + np.flatnonzero(both)
+        first = self.at[2]
+        asked = np.cumsum(self.new[2])[after[first] & after[first + 1]] - 1
+        return self.ends[2] + asked[_changes(asked)]
 
     def dealt(self, numbers: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(numbers, keys, partitions, starts): these n-grams by hash partition, their keys, and where each partition's begin."""
-        h = mix(np.concatenate(self.hashes)[numbers])
-        part = (h % U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        used, starts = np.unique(part[order], return_index=True)
-        return numbers[order], (h // U64(parts))[order] & U64((1 << KEY_BITS) - 1), used, starts
+        h = mix(self.hashes[numbers])
+        keys = h // U64(parts)
+        part = (h - keys * U64(parts)).astype(np.int64)
+        order, part = _order(part, parts)
+        starts = np.flatnonzero(_changes(part))
+        return numbers[order], keys[order] & U64((1 << KEY_BITS) - 1), part[starts].astype(np.int32), starts
 
     def learn(self, numbers: np.ndarray, parts: int, answers: list) -> None:
         """Takes in what came back for the n-grams asked for."""
@@ -185,10 +216,12 @@ class _Grams:
 
     def left(self, k: int) -> np.ndarray:
         """Counts in other documents of the n-grams of k + 1 words, by first word; 0 where none begins."""
-        at, which = self.at[k], self.which[k]
-        mine, _, n = _same(self.doc[at] * max(1, len(self.counts[k])) + which)
+        at, new = self.at[k], self.new[k]
+        # An n-gram's places in a document are next to each other.
+        mine = np.flatnonzero(new | _changes(self.doc[at]))
+        own = np.diff(mine, append=len(at))
         out = np.zeros(len(self.doc), np.int64)
-        out[at] = self.totals[self.ends[k] : self.ends[k + 1]][which] - n[mine]
+        out[at] = np.repeat(self.totals[self.ends[k] : self.ends[k + 1]], self.counts[k]) - np.repeat(own, own)
         return out
 
 
@@ -214,30 +247,17 @@ def _requests(parts: int, order: int):
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, block, i, total), those of a part and block in a row, as rows (block, part, places, totals)."""
-
-    def row(at: tuple[int, int], held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        i, total = (np.concatenate([h[k] for h in held]) for k in range(2))
-        if (i[1:] < i[:-1]).any():
-            order = np.argsort(i)
-            i, total = i[order], total[order]
-        steps = np.diff(i, prepend=np.int32(0)).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array([at[1]], pa.int64()), pa.array([at[0]], pa.int32()), pa.array([_packed(steps)], pa.binary()), pa.array([_packed(total.astype(np.uint64))], pa.binary())], names=["block", "part", "places", "totals"])
-
-    at, held = None, []
+    """Rows (block, part, i, total), those found of a part and block, as rows (block, part, places, totals)."""
     for batch in batches:
-        part, block, i, total = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "block", "i", "total"))
-        cuts = (np.flatnonzero((part[1:] != part[:-1]) | (block[1:] != block[:-1])) + 1).tolist()
-        for a, b in zip([0, *cuts], [*cuts, len(part)]):
-            if a == b:
-                continue
-            if (mine := (int(part[a]), int(block[a]))) != at:
-                if held:
-                    yield row(at, held)
-                at, held = mine, []
-            held.append((i[a:b].copy(), total[a:b].copy()))
-    if held:
-        yield row(at, held)
+        places, totals = [], []
+        for i, total in zip(batch.column("i"), batch.column("total")):
+            i, total = i.values.to_numpy(), total.values.to_numpy()
+            if (i[1:] < i[:-1]).any():
+                order = np.argsort(i)
+                i, total = i[order], total[order]
+            places.append(_packed(np.diff(i, prepend=np.int32(0)).astype(np.uint32)))
+            totals.append(_packed(total.astype(np.uint64)))
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("part"), pa.array(places, pa.binary()), pa.array(totals, pa.binary())], names=["block", "part", "places", "totals"])
 
 
 def _scores(parts: int, corpus: int, alpha: float):
@@ -285,7 +305,9 @@ def _found(requests: DataFrame, parts: int) -> DataFrame:
     grams = dealt.select("part", "block", "i", key.alias("key"), F.get("ns", F.col("i")).alias("n"))
     counts = grams.groupBy("part", "key").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1").select("part", "key", "total")
     # A block has one row for an n-gram, and counting ``block`` keeps the columns, so that both readers share one shuffle. Most n-grams are in one block only, so what is left of the count table is the smaller side.
-    found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n").select("part", "block", "i", "total")
+    found = grams.join(counts.hint("shuffle_hash"), ["part", "key"]).where("total > n")
+    # Python gets a row for each block: at each row Spark takes the size of its Arrow batch anew, which costs more than the join.
+    found = found.groupBy("part", "block").agg(F.collect_list("i").alias("i"), F.collect_list("total").alias("total"))
     answers = found.mapInArrow(trimmed(_answers), "block long, part int, places binary, totals binary")
     # A block's answers are as many as its n-grams, so a group is as large as a block.
     return answers.groupBy("block").agg(F.collect_list(F.struct("part", "places", "totals")).alias("answers"))

@@ -355,6 +355,52 @@ def test_scores_equal_plain_backoff(spark, docs, none, monkeypatch, words):
     assert lm.score(none).count() == 0
 
 
+def test_found_ngrams_reach_python_as_one_row_a_block_and_partition(spark, docs, monkeypatch):
+    rows, run = spark.sparkContext.accumulator(0), lm._answers
+
+    def counted(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(lm, "_answers", lambda batches: run(counted(batches)))
+    assert sum(r.n_seen for r in lm.score(docs.repartition(3)).collect()) > 100
+    # One hash partition, at most three blocks, two rounds.
+    assert 0 < rows.value <= 6
+
+
+def test_texts_without_words_alone(spark):
+    got = lm.score(spark.createDataFrame([(1, "", "s", None), (2, None, "s", None), (None, " \n", "s", None)], DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_seen, r.score, r.mean_score) for r in got) == [(0, 0, 0, 0.0, None), (1, 0, 0, 0.0, None), (2, 0, 0, 0.0, None)]
+
+
+def test_orders_of_numbers_with_and_without_room_for_places():
+    rng = np.random.default_rng(5)
+    for most in (1, 40, 1 << 62):
+        x = rng.integers(0, most, 1000)
+        x[::3] = x[0]
+        places = np.cumsum(rng.integers(1, 9, 1000))
+        by = np.argsort(x, kind="stable")
+        for given, want in ((None, by), (places, places[by])):
+            order, numbers = lm._order(x, most, given)
+            assert order.tolist() == want.tolist() and numbers.tolist() == x[by].tolist()
+    assert [len(y) for y in lm._order(np.zeros(0, np.int64), 5)] == [0, 0]
+
+
+@pytest.mark.parametrize("texts", [[""], ["a"], ["a b"], ["", "a", "", "a a", "b a a a", ""], ["a a a a a a"]])
+def test_ngrams_of_tiny_blocks(texts):
+    words = [t.split() for t in texts]
+    seen = sorted({w for t in words for w in t})
+    flat = np.array([seen.index(w) for t in words for w in t], np.uint32)
+    g = lm._Grams(np.array([len(t) for t in words], "<u4").tobytes(), np.arange(1, len(seen) + 1, dtype=np.uint64).tobytes(), lm._packed(flat))
+    for k in range(3):
+        grams = [(d, tuple(t[i : i + k + 1])) for d, t in enumerate(words) for i in range(len(t)) if i + k < len(t)]
+        all_, own = Counter(x for _, x in grams), Counter(grams)
+        assert sorted(g.counts[k].tolist()) == sorted(all_.values())
+        want = [all_[x] - own[d, x] if len(x := tuple(t[i : i + k + 1])) == k + 1 else 0 for d, t in enumerate(words) for i in range(len(t))]
+        assert g.left(k).tolist() == want
+
+
 # 6 Shards
 
 
