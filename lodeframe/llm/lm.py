@@ -152,67 +152,84 @@ def _changes(x: np.ndarray) -> np.ndarray:
 
 
 class _Grams:
-    """A block's distinct n-grams of each order in turn, numbered through: where they begin in the block, how often they come, and their hashes."""
+    """A block's distinct n-grams of each order in turn, numbered through: where they begin in the block, how often they come, and their hashes. Trigrams are numbered by ``wanted``, when the bigrams are known."""
 
-    def __init__(self, lengths: bytes, words: bytes, sequence: bytes, orders: int = ORDER):
+    def __init__(self, lengths: bytes, words: bytes, sequence: bytes):
         self.lengths = np.frombuffer(lengths, "<u4").astype(np.int64)
-        words = np.frombuffer(words, np.uint64)
-        sequence = _unpacked(sequence, np.uint32).astype(np.int64)
+        self.words = np.frombuffer(words, np.uint64)
+        self.sequence = _unpacked(sequence, np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         #: For each order: first words of its n-grams, by n-gram and then by place; the first of each n-gram among them; and the n-grams' counts and hashes.
-        self.at, self.new, self.counts, hashes = [], [], [], []
-        many = max(1, len(words))
-        #: Which n-gram of the order at hand begins at a word, where one does.
-        which = sequence
-        for k in range(orders):
-            if k == 0:
-                at, codes = _order(sequence, many)
-            else:
-                first = np.flatnonzero(self.doc[:-k] == self.doc[k:])
-                codes = which[: len(which) - k] * many + sequence[k:]
-                at, codes = _order(codes if len(first) == len(codes) else codes[first], len(self.counts[-1]) * many, first)
-            new = _changes(codes)
-            starts = np.flatnonzero(new)
-            codes = codes[starts]
-            hashes.append(hashes[-1][codes // many] + words[codes % many] * _MULT[k] + U64(k) if k else words * _MULT[0])
-            self.at.append(at)
-            self.new.append(new)
-            self.counts.append(np.diff(starts, append=len(at)))
-            if 0 < k < orders - 1:
-                which = np.zeros(len(sequence), np.int64)
-                which[at] = np.cumsum(new) - 1
-        self.hashes = np.concatenate(hashes)
-        self.ends = np.cumsum([0, *map(len, self.counts)]).tolist()
+        self.at, self.new, self.counts, self.hashes = [], [], [], []
+        self.ends = [0]
         #: What is known of each n-gram's count in the corpus: at first, its count here.
-        self.totals = np.concatenate(self.counts)
-
-    def wanted(self, order: int) -> np.ndarray:
-        """Numbers of the n-grams that are asked for: all words and bigrams first; then, these being known, trigrams whose bigrams other documents have."""
+        self.totals: list[np.ndarray] = []
+        for k in range(2):
+            self._number(k, self.inside(k))
+
+    def inside(self, k: int) -> np.ndarray:
+        """Whether k more words of the document follow a word, but for the last k words."""
+        return self.doc[: max(0, len(self.doc) - k)] == self.doc[k:]
+
+    def _number(self, k: int, begins: np.ndarray) -> None:
+        """Numbers the n-grams of k + 1 words that begin where it is said."""
+        many, n = max(1, len(self.words)), len(begins)
+        if k == 0:
+            at, codes = _order(self.sequence, many)
+        else:
+            if k == 1:
+                before = self.sequence
+            else:
+                before = np.zeros(len(self.doc), np.int64)
+                before[self.at[-1]] = np.cumsum(self.new[-1]) - 1
+            first = np.flatnonzero(begins)
+            at, codes = _order(before[:n][begins] * many + self.sequence[k:][begins], len(self.counts[-1]) * many, first)
+        new = _changes(codes)
+        starts = np.flatnonzero(new)
+        codes = codes[starts]
+        self.hashes.append(self.hashes[-1][codes // many] + self.words[codes % many] * _MULT[k] + U64(k) if k else self.words * _MULT[0])
+        self.at.append(at)
+        self.new.append(new)
+        self.counts.append(np.diff(starts, append=len(at)))
+        self.totals.append(self.counts[-1].copy())
+        self.ends.append(self.ends[-1] + len(starts))
+
+    def wanted(self, order: int) -> range:
+        """Orders of the n-grams that are asked for: all words and bigrams first; then, these being known, trigrams whose bigrams other documents have. No other trigram can be in another document, here or elsewhere."""
         if order == 1:
-            return np.arange(self.ends[2])
-        after = self.left(1) > 0
-        first = self.at[2]
-        asked = np.cumsum(self.new[2])[after[first] & after[first + 1]] - 1
-        return self.ends[2] + asked[_changes(asked)]
-
-    def dealt(self, numbers: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers, keys, partitions, starts): these n-grams by hash partition, their keys, and where each partition's begin."""
-        h = mix(self.hashes[numbers])
+            return range(2)
+        if len(self.at) == 2:
+            #: Kept, as ``left`` gives it for bigrams.
+            self.pairs = self.left(1)
+            after = self.pairs > 0
+            begins = self.inside(2)
+            begins &= after[: len(begins)]
+            begins &= after[1 : len(begins) + 1]
+            self._number(2, begins)
+        return range(2, 3)
+
+    def dealt(self, orders: range, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places, keys, partitions, starts): places of the orders' n-grams by hash partition, the keys of the n-grams, and where each partition's begin."""
+        h = mix(np.concatenate([self.hashes[k] for k in orders]))
         keys = h // U64(parts)
-        part = (h - keys * U64(parts)).astype(np.int64)
-        order, part = _order(part, parts)
+        h -= keys * U64(parts)
+        keys &= U64((1 << KEY_BITS) - 1)
+        places, part = _order(h, parts)
         starts = np.flatnonzero(_changes(part))
-        return numbers[order], keys[order] & U64((1 << KEY_BITS) - 1), part[starts].astype(np.int32), starts
+        return places, keys, part[starts].astype(np.int32), starts
 
-    def learn(self, numbers: np.ndarray, parts: int, answers: list) -> None:
+    def learn(self, orders: range, parts: int, answers: list) -> None:
         """Takes in what came back for the n-grams asked for."""
         if not answers:
             return
-        numbers, _, used, starts = self.dealt(numbers, parts)
+        places, _, used, starts = self.dealt(orders, parts)
         begins = dict(zip(used.tolist(), starts.tolist()))
+        totals = np.concatenate([self.totals[k] for k in orders])
         for x in answers:
             place = begins[x["part"]] + np.cumsum(_unpacked(x["places"], np.uint32).astype(np.int64))
-            self.totals[numbers[place]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
+            totals[places[place]] = _unpacked(x["totals"], np.uint64).astype(np.int64)
+        for k in orders:
+            self.totals[k] = totals[self.ends[k] - self.ends[orders[0]] : self.ends[k + 1] - self.ends[orders[0]]]
 
     def left(self, k: int) -> np.ndarray:
         """Counts in other documents of the n-grams of k + 1 words, by first word; 0 where none begins."""
@@ -221,7 +238,7 @@ class _Grams:
         mine = np.flatnonzero(new | _changes(self.doc[at]))
         own = np.diff(mine, append=len(at))
         out = np.zeros(len(self.doc), np.int64)
-        out[at] = np.repeat(self.totals[self.ends[k] : self.ends[k + 1]], self.counts[k]) - np.repeat(own, own)
+        out[at] = np.repeat(self.totals[k], self.counts[k]) - np.repeat(own, own)
         return out
 
 
@@ -232,12 +249,14 @@ def _requests(parts: int, order: int):
         for batch in batches:
             names = ["block", "lengths", "words", "sequence", *(["answers1"] if order > 1 else [])]
             for block, lengths, words, sequence, *answers in zip(*[batch.column(n).to_pylist() for n in names]):
-                g = _Grams(lengths, words, sequence, max(2, order + 1))
+                g = _Grams(lengths, words, sequence)
                 if order > 1:
                     g.learn(g.wanted(1), parts, answers[0])
-                numbers, keys, used, starts = g.dealt(g.wanted(order), parts)
-                ends = np.append(starts, len(keys))
-                lists = [(keys >> U64(16)).astype(np.uint32).view(np.int32), (keys & U64(0xFFFF)).astype(np.uint16).view(np.int16), np.concatenate(g.counts).astype(np.int32)[numbers]]
+                orders = g.wanted(order)
+                places, keys, used, starts = g.dealt(orders, parts)
+                keys, ends = keys[places], np.append(starts, len(keys))
+                counts = np.concatenate([g.counts[k] for k in orders]).astype(np.int32)[places]
+                lists = [(keys >> U64(16)).astype(np.uint32).view(np.int32), (keys & U64(0xFFFF)).astype(np.uint16).view(np.int16), counts]
                 for a in range(0, len(used), 64):
                     b = min(len(used), a + 64)
                     cut = slice(ends[a], ends[b])
@@ -269,18 +288,17 @@ def _scores(parts: int, corpus: int, alpha: float):
                 g = _Grams(lengths, words, sequence)
                 for order, got in enumerate(answers, 1):
                     g.learn(g.wanted(order), parts, got)
-                left = [g.left(k) for k in range(ORDER)]
+                left = [g.left(0), g.pairs, g.left(2)]
                 n = len(g.lengths)
-                before = np.arange(len(g.doc)) - np.repeat(np.cumsum(g.lengths) - g.lengths, g.lengths)
-                scored = np.zeros(len(g.doc), np.int64)
+                scored = np.zeros(len(g.doc), np.int32)
                 value = np.maximum(left[0], 0.5) / np.maximum(corpus - g.lengths, 1)[g.doc]
                 for k in range(1, ORDER):
-                    # n-grams of k + 1 words, by their last word.
-                    has = np.flatnonzero(before >= k)
-                    top, low = left[k][has - k], left[k - 1][has - k]
+                    # n-grams of k + 1 words, by their last word; none that others have begins at a document's last k words.
+                    inside, last = g.inside(k), value[k:]
+                    top, low = left[k][: len(inside)], left[k - 1][: len(inside)]
                     seen = top > 0
-                    value[has] = np.where(seen, top / np.maximum(low, 1), alpha * value[has])
-                    scored[has[seen]] = k
+                    last[:] = np.where(seen, top / np.maximum(low, 1), np.where(inside, alpha * last, last))
+                    scored[k:][seen] = k
                 units = np.floor(np.log(value) * UNIT + 0.5).astype(np.int64)
                 # A row for each document and order that scored some of it, and one that says how many words it has.
                 slot = g.doc * ORDER + scored
